@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def worker_path(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver did.
+
+    Elsewhere the package has to be installed or sent with ``--py-files``, as for any library.
+    """
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in ``spark.checkpoint.dir``; set one only where it is unset."""
     sc = spark.sparkContext
@@ -44,6 +57,7 @@ def release(spark: SparkSession) -> None:
 
 def pick(df: DataFrame, wanted: Iterable[tuple[str, str, str]]) -> DataFrame:
     """Project (column, type, new name) triples; a column that is missing reads as null."""
+    worker_path(df.sparkSession)
     have = set(df.columns)
     return df.select(*[(df[c] if c in have else F.lit(None)).cast(t).alias(n) for c, t, n in wanted])
 
@@ -54,3 +68,24 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     for n in names[1:]:
         out = out & left[n].eqNullSafe(right[n])
     return out
+
+
+#: White space that parts words, as a Java class: space and the controls 9 to 13.
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def words_of(text: Column, pattern: str = WORD) -> Column:
+    """Array of the words of a text."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def window_hashes(words: Column, k: int) -> Column:
+    """64-bit hash of each window of ``k`` consecutive words; empty for fewer words."""
+    at = F.sequence(F.lit(0), F.size(words) - k)
+    hashed = F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
+    return F.when(F.size(words) >= k, hashed).otherwise(F.array().cast("array<bigint>"))

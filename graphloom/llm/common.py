@@ -89,3 +89,11 @@ def window_hashes(words: Column, k: int) -> Column:
     at = F.sequence(F.lit(0), F.size(words) - k)
     hashed = F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
     return F.when(F.size(words) >= k, hashed).otherwise(F.array().cast("array<bigint>"))
+
+
+def union_of_spans(starts: Column, k: int) -> Column:
+    """Length of the union of [s, s + k) over the rising ``starts``."""
+    return let(
+        starts,
+        lambda a: F.aggregate(F.transform(a, lambda p, j: F.least(F.lit(k), F.coalesce(F.get(a, j + 1) - p, F.lit(k))).cast("int")), F.lit(0), lambda x, y: x + y),
+    )

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PRE, WORD, let, pick, window_hashes, words_of
+from .common import PRE, WORD, let, union_of_spans, window_hashes, words_of
 
 WINDOW = 8
 #: About so many labelled rows, chosen by a hash of the id, train the list.
@@ -38,8 +38,7 @@ def _repeated(hashes: Column, k: int) -> Column:
         twice = lambda s, j: (
             ((j > 0) & (F.get(by_hash, F.greatest(j - 1, F.lit(0)))["h"] == s["h"])) | ((j < last) & (F.get(by_hash, F.least(j + 1, last))["h"] == s["h"]))
         )
-        at = F.sort_array(F.transform(F.filter(by_hash, twice), lambda s: s["i"]))
-        return let(at, lambda a: F.aggregate(F.transform(a, lambda p, j: F.least(F.lit(k), F.coalesce(F.get(a, j + 1) - p, F.lit(k)))), F.lit(0), lambda x, y: x + y))
+        return union_of_spans(F.sort_array(F.transform(F.filter(by_hash, twice), lambda s: s["i"])), k)
 
     pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(pairs, spans))

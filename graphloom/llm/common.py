@@ -31,13 +31,13 @@ def worker_path(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; set one only where it is unset."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; one is set only where none is."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     The files outlive executors, so a lost executor costs the tasks it ran and no earlier stage.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -8,16 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, licenses, sharding, urls
 from .common import table
+from .html import main_text
 from .language import identify
+from .lines import line_report
 from .packing import pack
 from .quality import judge
 from .simhash import simhash_groups
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -47,7 +57,19 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op4_packing, op5_license_scan, op6_hilbert_shards, op7_url_filter, op8_quality_rules, op9_decontaminate, op10_simhash_dedup)}
+    found = (
+        op1_line_dedup,
+        op2_language_id,
+        op3_html_extract,
+        op4_packing,
+        op5_license_scan,
+        op6_hilbert_shards,
+        op7_url_filter,
+        op8_quality_rules,
+        op9_decontaminate,
+        op10_simhash_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

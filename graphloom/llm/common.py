@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import os
-import tempfile
 from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import checkpoint_dir, cut, release  # noqa: F401  for the operators
+
 #: Prefix of every helper column, so that columns of the caller's tables never clash with ours.
 PRE = "__gl_"
 
@@ -31,30 +31,6 @@ def worker_path(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; one is set only where none is."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
-
-    The files outlive executors, so a lost executor costs the tasks it ran and no earlier stage.
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that a checkpoint has superseded."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def pick(df: DataFrame, wanted: Iterable[tuple[str, str, str]]) -> DataFrame:
     """Project (column, type, new name) triples; a column that is missing reads as null."""
     worker_path(df.sparkSession)

@@ -1,11 +1,554 @@
-"""Queries of the graph operators, with the SQL that states the same results."""
+"""Queries of the graph operators over the star-schema projection, each with the SQL that states its result."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import labels as L
+from ..functions import parsing as P
+from ..operators import calls as C
+from ..operators import derive, flows, modules, mutate, notify, rank, rename, search
+from ..operators import traverse as T
+from ..projection import SQL, Projection
+
+TARGET, SEED = "p:154", "p:154"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of a Projection under its name; ``sql`` may use the projection's tables."""
+
+    def put(f: Callable[[Projection], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Projection(spark, sf_dir))
+
+        _QUERIES[f.__name__] = run
+        if sql:
+            head, body = (sql.split("--body", 1) + [""])[:2] if "--body" in sql else ("", sql)
+            recursive = "RECURSIVE " if "RECURSIVE" in head.upper() else ""
+            extra = head.replace("RECURSIVE", "").strip().rstrip(",")
+            _SQL[f.__name__] = f"WITH {recursive}{SQL}{', ' + extra if extra else ''} {body}"
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _QUERIES["callers_all"](spark, sf_dir)
+
+
+def one(p: Projection, usr: str) -> DataFrame:
+    return p.spark.createDataFrame([(usr,)], "usr string")
+
+
+# Evidence rules in SQL: rows of `calls` kept for each target (dst) or source (src).
+def _evidence(side: str, inferred: bool = False) -> str:
+    kept = "calls" if inferred else "(SELECT * FROM calls WHERE reason IS DISTINCT FROM 'indexstore_relation_only')"
+    return f"""SELECT * FROM (SELECT *, max((reason = 'source_direct')::int) OVER (PARTITION BY {side}) AS any_direct FROM {kept})
+    WHERE reason = 'source_direct' OR coalesce(any_direct, 0) = 0"""
+
+
+def _calls_sql(side: str, other: str, inferred: bool = False, where: str = "") -> str:
+    return f"""SELECT e.{side} AS target, s.usr, s.name, s.module,
+      CASE WHEN e.reason = 'source_direct' THEN 'source_direct' ELSE 'indexstore_relation_only' END AS reason,
+      CASE WHEN e.reason = 'source_direct' THEN 'compiler-verified' ELSE 'inferred' END AS confidence
+    FROM ({_evidence(side, inferred)}) e JOIN symbols s ON s.usr = e.{other} {where}"""
+
+
+CALL_COLUMNS = ["target", "usr", "name", "module", "reason", "confidence"]
+
+
+@query("SELECT usr, name, kind, module, language FROM symbols WHERE usr = 'p:154'")
+def symbol_lookup(p):
+    return search.lookup(p.symbols, TARGET).select("usr", "name", "kind", "module", "language")
+
+
+@query("SELECT usr, name, module FROM symbols WHERE regexp_full_match(name, '(small|red) .*') ORDER BY name, usr LIMIT 20")
+def symbol_search_regex(p):
+    return search.search(p.symbols, "(small|red) .*").select("usr", "name", "module")
+
+
+@query("SELECT usr, name FROM symbols WHERE regexp_full_match(name, '.*bolt.*') AND module = 'Brand#4' AND language = 'objc' ORDER BY name, usr LIMIT 20")
+def symbol_search_restricted(p):
+    return search.search(p.symbols, "bolt", module="Brand#4", language="objc").select("usr", "name")
+
+
+@query("""SELECT usr, name, place FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN name = 'red bolt' THEN 0 ELSE 1 END,
+   CASE WHEN name = 'red bolt' THEN 0 WHEN lower(name) = 'red bolt' THEN 1 ELSE 2 END, CASE WHEN module = 'Brand#4' THEN 0 ELSE 1 END,
+   CASE WHEN starts_with(name, 'red bolt') THEN 0 ELSE 1 END, module, kind, name, usr) AS place
+   FROM (SELECT * FROM symbols WHERE regexp_full_match(name, '.*red bolt.*') ORDER BY name, usr LIMIT 20))""")
+def symbol_search_ranked(p):
+    return search.ranked(p.symbols, "red bolt", module="Brand#4").select("usr", "name", "place")
+
+
+@query("""SELECT o.usr AS owner, o.name AS owner_name, s.usr, s.name FROM contains c JOIN symbols o ON o.usr = c.src JOIN symbols s ON s.usr = c.dst
+   WHERE o.kind = 'class' AND regexp_full_match(o.name, '.*Supplier#00000000[0-4].*') ORDER BY o.name, o.usr, s.name, s.usr LIMIT 50""")
+def class_search_methods(p):
+    return search.members_of_matching(p.symbols, p.contains, ".*Supplier#00000000[0-4].*")
+
+
+@query("""SELECT usr, round(least(1.0, 0.5 + CASE WHEN contains(lower(coalesce(file_path, '')), 'brand#4') THEN 0.4 ELSE 0 END
+     + CASE kind WHEN 'class' THEN 0.1 WHEN 'struct' THEN 0.08 WHEN 'protocol' THEN 0.08 ELSE 0 END), 2) AS score FROM symbols""")
+def candidate_scores(p):
+    return p.symbols.select("usr", L.candidate_score(F.col("kind"), F.col("file_path"), F.col("module"), file_hint="Brand#4").alias("score"))
+
+
+@query("""SELECT usr, score, place, status FROM (SELECT *, CASE WHEN count(*) OVER () = 1 OR (max(score) OVER () >= 0.95 AND max(score) OVER ()
+     - max(CASE WHEN place = 2 THEN score END) OVER () > 0.10) THEN 'found' ELSE 'ambiguous' END AS status
+   FROM (SELECT *, row_number() OVER (ORDER BY score DESC, name, usr) AS place FROM (SELECT usr, name,
+     round(least(1.0, 0.5 + CASE WHEN contains(lower(file_path), 'brand#4/') THEN 0.4 ELSE 0 END + CASE WHEN module = 'Brand#4' THEN 0.1 ELSE 0 END), 2) AS score
+     FROM (SELECT * FROM symbols WHERE regexp_full_match(name, '.*red bolt.*') ORDER BY name, usr LIMIT 20))))
+   WHERE status = 'ambiguous' OR place = 1""")
+def candidate_autoselect(p):
+    return search.resolve(search.matching(p.symbols, "red bolt"), file_hint="Brand#4/", module_hint="Brand#4").select("usr", "score", "place", "status")
+
+
+@query(_calls_sql("dst", "src", where="WHERE e.dst = 'p:154'"))
+def callers_d1(p):
+    return C.callers(p.symbols, p.calls, one(p, TARGET)).select(*CALL_COLUMNS)
+
+
+@query(_calls_sql("dst", "src"))
+def callers_all(p):
+    return C.callers(p.symbols, p.calls).select(*CALL_COLUMNS)
+
+
+@query(_calls_sql("dst", "src", inferred=True))
+def callers_inferred(p):
+    return C.callers(p.symbols, p.calls, include_inferred=True).select(*CALL_COLUMNS)
+
+
+@query(_calls_sql("src", "dst"))
+def callees_all(p):
+    return C.callees(p.symbols, p.calls).select(*CALL_COLUMNS)
+
+
+@query(f"SELECT 'caller' AS direction, * FROM ({_calls_sql('dst', 'src', where=chr(32) + 'WHERE e.dst = ' + chr(39) + 'p:154' + chr(39))}) UNION ALL SELECT 'callee', * FROM ({_calls_sql('src', 'dst', where=chr(32) + 'WHERE e.src = ' + chr(39) + 'p:154' + chr(39))})")
+def references_both(p):
+    return C.references(p.symbols, p.calls, one(p, TARGET)).select("direction", *CALL_COLUMNS)
+
+
+def _members(p):
+    return C.methods_of(p.symbols, p.contains, kinds=())
+
+
+@query(f"""SELECT owner, usr, via_method FROM (SELECT c.src AS owner, r.usr, m.name AS via_method,
+     row_number() OVER (PARTITION BY c.src, r.usr ORDER BY m.name, m.usr) AS rn
+   FROM ({_calls_sql("dst", "src")}) r JOIN contains c ON c.dst = r.target JOIN symbols m ON m.usr = r.target) WHERE rn = 1""")
+def callers_via_method(p):
+    return C.callers_via_method(p.symbols, p.calls, _members(p))
+
+
+@query(f"""SELECT owner, usr, string_agg(DISTINCT method, '|' ORDER BY method) AS methods FROM (
+     SELECT m.owner, r.usr, m.name AS method FROM ({_calls_sql("src", "dst")}) r JOIN (SELECT * FROM (SELECT c.src AS owner, s.usr, s.name,
+       row_number() OVER (PARTITION BY c.src ORDER BY s.name, s.usr) AS rn FROM contains c JOIN symbols s ON s.usr = c.dst) WHERE rn <= 50) m
+     ON m.usr = r.target) GROUP BY owner, usr""")
+def callees_by_method(p):
+    return C.callees_by_method(p.symbols, p.calls, _members(p)).select("owner", "usr", F.array_join("calling_methods", "|").alias("methods"))
+
+
+def _bfs_sql(start: str, end: str, depth: int, seed: str = "'p:154'") -> str:
+    return f"""RECURSIVE walk(id, depth) AS (SELECT {seed}, 0 UNION SELECT c.{end}, w.depth + 1 FROM walk w JOIN calls c ON c.{start} = w.id WHERE w.depth < {depth})
+   --body SELECT id, min(depth)::BIGINT AS depth FROM walk WHERE id <> {seed} GROUP BY id"""
+
+
+@query(_bfs_sql("dst", "src", 3))
+def callers_d3(p):
+    return T.bfs(p.calls, one(p, SEED), 3, reverse=True).select("id", "depth")
+
+
+@query(_bfs_sql("src", "dst", 3))
+def callees_d3(p):
+    return T.bfs(p.calls, one(p, SEED), 3).select("id", "depth")
+
+
+def _relations(p):
+    owns = p.contains.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("References").alias("rel_type"), F.lit(0.9).alias("confidence"))
+    return p.calls.select("src", "dst", F.lit("Calls").alias("rel_type"), "confidence").unionByName(owns)
+
+
+_IMPACT = """RECURSIVE rel AS (SELECT src, dst, 0 AS k FROM calls UNION ALL SELECT dst, src, 1 FROM contains),
+   walk(id, depth) AS (SELECT 'p:154', 0 UNION SELECT r.src, w.depth + 1 FROM walk w JOIN rel r ON r.dst = w.id WHERE w.depth < 5),
+   least_d AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id),
+   found AS (SELECT d.id, d.depth, min(r.k) AS k FROM least_d d JOIN rel r ON r.src = d.id JOIN least_d b ON b.id = r.dst AND b.depth = d.depth - 1
+     WHERE d.id <> 'p:154' GROUP BY d.id, d.depth)"""
+
+
+@query(_IMPACT + " --body SELECT id, depth::BIGINT AS depth, CASE k WHEN 0 THEN 'Calls' ELSE 'References' END AS reached_via FROM found")
+def impact_by_depth(p):
+    return T.impact(_relations(p), p.hierarchy, one(p, SEED)).select("id", "depth", "reached_via")
+
+
+@query(_IMPACT + """ --body SELECT 'p:154' AS seed, CASE WHEN n >= 10 THEN 'high' WHEN n >= 4 THEN 'medium' ELSE 'low' END AS risk, n AS direct_callers,
+     (SELECT module || ' ' || name || ' ' || kind FROM symbols WHERE usr = 'p:154') AS primary_surface, clusters AS d2_clusters
+   FROM (SELECT count(*) FILTER (depth = 1)::BIGINT AS n, array_to_string(list_sort(list_distinct(list(s.module) FILTER (depth = 2)))[1:5], '|') AS clusters
+     FROM found f JOIN symbols s ON s.usr = f.id)""")
+def impact_risk(p):
+    found = T.impact(_relations(p), p.hierarchy, one(p, SEED))
+    return T.impact_summary(found, p.symbols, one(p, SEED)).select("seed", "risk", "direct_callers", "primary_surface", F.array_join("d2_clusters", "|").alias("d2_clusters"))
+
+
+@query("""RECURSIVE walk(seed, id, depth) AS (SELECT usr, usr, 0 FROM symbols WHERE kind = 'protocol' UNION SELECT w.seed, h.src, w.depth + 1 FROM walk w JOIN hierarchy h ON h.dst = w.id WHERE w.depth < 20)
+   --body SELECT seed, id, min(depth)::BIGINT AS depth FROM walk WHERE id <> seed GROUP BY seed, id""")
+def subtype_closure(p):
+    return T.subtype_closure(p.hierarchy, p.symbols.where("kind = 'protocol'"))
+
+
+@query("""SELECT h.src AS seed, CASE h.rel_type WHEN 'ConformsTo' THEN 'protocol' ELSE 'parent' END AS role, s.usr, s.name FROM hierarchy h JOIN symbols s ON s.usr = h.dst WHERE h.src LIKE 'n:%'
+   UNION SELECT h.dst, 'child', s.usr, s.name FROM hierarchy h JOIN symbols s ON s.usr = h.src WHERE h.dst LIKE 'n:%'""")
+def type_hierarchy(p):
+    return T.hierarchy(p.symbols, p.hierarchy, p.types.where("usr like 'n:%'")).select("seed", "role", "usr", "name")
+
+
+@query("SELECT c.dst AS usr, s.usr AS owner_usr, s.name AS owner_name FROM contains c JOIN symbols s ON s.usr = c.src")
+def owner_of(p):
+    return C.owner_of(p.symbols, p.contains).select("usr", "owner_usr", "owner_name")
+
+
+@query("SELECT c.src AS owner, s.usr, s.name FROM contains c JOIN symbols s ON s.usr = c.dst")
+def methods_of(p):
+    return _members(p)
+
+
+_DEPS = "deps AS (SELECT DISTINCT a.module AS src_module, b.module AS dst_module FROM (SELECT src, dst FROM calls UNION ALL SELECT src, dst FROM contains) e JOIN symbols a ON a.usr = e.src JOIN symbols b ON b.usr = e.dst WHERE a.module <> b.module)"
+
+
+@query(_DEPS + " --body SELECT * FROM deps")
+def module_graph(p):
+    return modules.dependencies(p.symbols, p.calls, p.contains)
+
+
+@query("RECURSIVE " + _DEPS + ", reach(a, b) AS (SELECT src_module, dst_module FROM deps UNION SELECT r.a, d.dst_module FROM reach r JOIN deps d ON d.src_module = r.b) --body SELECT a AS module FROM reach WHERE a = b")
+def module_cycles(p):
+    return modules.in_cycles(modules.dependencies(p.symbols, p.calls, p.contains))
+
+
+_LAYER = {"ui": "ui|view|screen|widget|component|panel", "data": "data|repository|store|database|db|persistence|storage", "service": "service|api|network|manager|logic|business|interactor"}
+_LAYER_SQL = lambda c: "CASE " + " ".join(f"WHEN regexp_matches(lower({c}), '{p}') THEN '{k}'" for k, p in _LAYER.items()) + " ELSE 'unknown' END"
+# Names of the parts stand for modules here: they hold the layers' words.
+_VIOLATIONS = f"""SELECT CASE WHEN x = 'ui' THEN 'UI→Data' ELSE 'Data→Service' END AS pattern, caller_usr, callee_usr FROM (SELECT e.src AS caller_usr, e.dst AS callee_usr,
+   {_LAYER_SQL("a.name || CASE WHEN a.language = 'c' THEN ' data' ELSE '' END")} AS x, {_LAYER_SQL("b.name || CASE WHEN b.language = 'objc' THEN ' service' WHEN b.language = 'c' THEN ' data' ELSE '' END")} AS y
+   FROM calls e JOIN symbols a ON a.usr = e.src JOIN symbols b ON b.usr = e.dst) WHERE (x = 'ui' AND y = 'data') OR (x = 'data' AND y = 'service')"""
+
+
+def _layered(p):
+    data = F.when(F.col("language") == "c", " data").otherwise("")
+    caller = p.symbols.withColumn("module", F.concat("name", data))
+    callee = p.symbols.withColumn("module", F.concat("name", F.when(F.col("language") == "objc", " service").otherwise(data)))
+    a = caller.select(F.col("usr").alias("src"), F.col("module").alias("caller_module"))
+    b = callee.select(F.col("usr").alias("dst"), F.col("module").alias("callee_module"))
+    both = p.calls.join(a, "src").join(b, "dst")
+    return both.select(L.layer_violation(F.col("caller_module"), F.col("callee_module")).alias("pattern"), F.col("src").alias("caller_usr"), F.col("dst").alias("callee_usr")).where("pattern is not null")
+
+
+@query(_VIOLATIONS)
+def layer_violations(p):
+    return _layered(p)
+
+
+@query(f"SELECT pattern, count(*) AS n FROM ({_VIOLATIONS}) GROUP BY pattern")
+def layer_violation_counts(p):
+    return _layered(p).groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'Symbol' AS entity, count(*) AS n FROM symbols UNION ALL SELECT 'Calls', count(*) FROM calls UNION ALL SELECT 'Contains', count(*) FROM contains UNION ALL SELECT rel_type, count(*) FROM hierarchy GROUP BY 1")
+def stats_counts(p):
+    typed = p.calls.select(F.lit("Calls").alias("rel_type")).unionByName(p.contains.select(F.lit("Contains").alias("rel_type"))).unionByName(p.hierarchy.select("rel_type"))
+    return modules.stats(p.symbols, typed)
+
+
+@query("SELECT module, kind, count(*) AS n FROM symbols GROUP BY 1, 2")
+def module_kind_counts(p):
+    return modules.kind_counts(p.symbols)
+
+
+@query("""SELECT module, count(*) FILTER (kind = 'promo') AS promo, count(*) FILTER (kind = 'small') AS small, count(*) FILTER (kind = 'class') AS "class", count(*) AS total FROM symbols GROUP BY module""")
+def audit_pivot(p):
+    return modules.audit_pivot(p.symbols, ["promo", "small", "class"])
+
+
+@query("""SELECT e.module, coalesce(n, 0)::BIGINT AS n, CASE WHEN n IS NULL THEN 'MISSING' WHEN n < 100 THEN 'UNEXPECTED GAP' ELSE 'ok' END AS status
+   FROM (SELECT unnest(['Brand#1', 'Brand#2', 'supply', 'FURNITURE', 'nowhere']) AS module) e LEFT JOIN (SELECT module, count(*) AS n FROM symbols GROUP BY 1) c ON c.module = e.module""")
+def audit_gaps(p):
+    return modules.audit_gaps(p.spark.createDataFrame([(m,) for m in ("Brand#1", "Brand#2", "supply", "FURNITURE", "nowhere")], "module string"), p.symbols)
+
+
+_EVENT_NAME = "CASE event_type WHEN 'click' THEN 'operator<<' WHEN 'view' THEN 'NSLog' WHEN 'error' THEN 'operatorName' ELSE event_type END"
+
+
+def _event_names(p):
+    t = F.col("event_type")
+    return p.table("events").select("event_id", F.when(t == "click", "operator<<").when(t == "view", "NSLog").when(t == "error", "operatorName").otherwise(t).alias("name"))
+
+
+@query(f"SELECT event_id, {_EVENT_NAME} AS name FROM events WHERE event_type NOT IN ('click', 'view')")
+def noise_filter(p):
+    return C.drop_noise(_event_names(p))[0]
+
+
+@query("SELECT count(*) AS removed FROM events WHERE event_type IN ('click', 'view')")
+def noise_removed(p):
+    return C.drop_noise(_event_names(p))[1]
+
+
+_SELECTOR = "CASE event_type WHEN 'click' THEN 'addTarget:action:forControlEvents:' WHEN 'view' THEN 'viewDidLoad' WHEN 'signup' THEN 'addObserver:selector:name:object:' WHEN 'error' THEN 'dispatch_async_worker' ELSE 'setFooDelegate:' END"
+
+
+def _selectors(p):
+    t = F.col("event_type")
+    name = F.when(t == "click", "addTarget:action:forControlEvents:").when(t == "view", "viewDidLoad").when(t == "signup", "addObserver:selector:name:object:").when(t == "error", "dispatch_async_worker").otherwise("setFooDelegate:")
+    return p.table("events").select("event_id", name.alias("selector"))
+
+
+@query(f"""SELECT event_id, CASE event_type WHEN 'click' THEN 'target_action' WHEN 'view' THEN 'framework_callback' WHEN 'signup' THEN 'notification_observer' WHEN 'error' THEN 'unknown' ELSE 'delegate_setter' END AS role FROM (SELECT *, {_SELECTOR} AS s FROM events)""")
+def semantic_role(p):
+    return _selectors(p).select("event_id", L.message_role(F.col("selector")).alias("role"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'sdk_callback' WHEN 'signup' THEN 'notification_callback_sink' WHEN 'error' THEN 'worker_thread_dispatch' END AS boundary FROM events""")
+def execution_boundary(p):
+    s = _selectors(p)
+    return s.select("event_id", L.execution_boundary(F.col("selector"), F.lit("method"), L.message_role(F.col("selector")))["role"].alias("boundary"))
+
+
+@query("SELECT usr, CASE WHEN coalesce(file_path, '') = '' THEN 'unknown' WHEN file_path = '/ws/Brand#4' OR starts_with(file_path, '/ws/Brand#4/') THEN 'inside_workspace_root' ELSE 'outside_workspace_root' END AS scope FROM symbols")
+def source_scope(p):
+    return p.symbols.select("usr", L.source_scope(F.col("file_path"), "/ws/Brand#4").alias("scope"))
+
+
+@query("""SELECT p_partkey, regexp_extract('ns::' || replace(p_name, ' ', '_') || '::run(int) (f.cpp:12)', '([A-Za-z_][A-Za-z_:]*)\\(', 1) AS qualified_name, replace(p_name, ' ', '_') AS owner, 'run' AS symbol, 'int' AS signature, 'f.cpp' AS source_file, '12' AS source_line FROM part""")
+def frame_parse(p):
+    raw = F.concat(F.lit("ns::"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("::run(int) (f.cpp:12)"))
+    return search.parse_frames(p.table("part").select("p_partkey", raw.alias("raw"))).select("p_partkey", "qualified_name", "owner", "symbol", "signature", "source_file", "source_line")
+
+
+@query("""SELECT swift_usr, objc_usr, CASE WHEN a.dir = b.dir THEN 0.85 ELSE 0.82 END AS confidence FROM
+   (SELECT usr AS swift_usr, name, kind, coalesce(regexp_replace(file_path, '/[^/]*$', ''), '') AS dir FROM symbols WHERE language = 'swift') a JOIN
+   (SELECT usr AS objc_usr, name, kind, coalesce(regexp_replace(file_path, '/[^/]*$', ''), '') AS dir FROM symbols WHERE language = 'objc') b ON a.name = b.name AND a.kind = b.kind""")
+def bridge_pairs(p):
+    return derive.bridge_pairs(p.symbols).select("swift_usr", "objc_usr", "confidence")
+
+
+@query("""SELECT usr, count(*) AS bridges FROM (SELECT a.usr AS usr, b.usr AS other FROM symbols a JOIN symbols b ON a.name = b.name AND a.kind = b.kind
+   WHERE (a.language = 'swift' AND b.language = 'objc') OR (a.language = 'objc' AND b.language = 'swift')) GROUP BY usr""")
+def bridge_query(p):
+    return derive.bridges_of(derive.bridge_edges(derive.bridge_pairs(p.symbols)), p.symbols).groupBy("usr").agg(F.countDistinct("other").alias("bridges"))
+
+
+def _views(p):
+    return p.symbols.where("kind = 'class' and usr like 's:%'")
+
+
+@query("""SELECT DISTINCT o.src AS src, i.src AS dst FROM calls c JOIN contains o ON o.dst = c.src JOIN contains i ON i.dst = c.dst WHERE o.src <> i.src""")
+def view_tree(p):
+    bodies = p.contains.select(F.col("dst").alias("usr"), F.col("src").alias("owner"))
+    lifted = p.calls.join(p.contains.select(F.col("dst"), F.col("src").alias("box")), "dst").select("src", F.col("box").alias("dst"))
+    return derive.view_tree(_views(p), bodies, lifted)
+
+
+@query("SELECT a.usr AS src, b.usr AS dst FROM symbols a JOIN symbols b ON a.usr <> b.usr WHERE a.usr LIKE 's:%' AND b.usr LIKE 's:%'")
+def navigation_flow(p):
+    return derive.navigation(_views(p), _views(p))
+
+
+@query("""SELECT DISTINCT x.dst AS src, y.dst AS dst FROM calls c JOIN contains cx ON cx.dst = c.src JOIN contains cy ON cy.dst = c.dst JOIN contains x ON x.src = cx.src JOIN contains y ON y.src = cy.src
+   JOIN symbols a ON a.usr = x.dst JOIN symbols b ON b.usr = y.dst AND a.name = b.name WHERE c.reason = 'source_direct'""")
+def mro_overrides(p):
+    box = p.contains
+    up = p.calls.where("reason = 'source_direct'").join(box.select(F.col("dst").alias("src"), F.col("src").alias("a")), "src").join(box.select("dst", F.col("src").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    return derive.overrides(p.symbols, p.contains, up)
+
+
+@query("""SELECT coalesce(p.name, o.name) AS name, coalesce(posters, '') AS posters, coalesce(observers, '') AS observers FROM
+   (SELECT dst AS name, string_agg(DISTINCT src, ',' ORDER BY src) AS posters FROM posts GROUP BY 1) p FULL JOIN (SELECT src AS name, string_agg(DISTINCT dst, ',' ORDER BY dst) AS observers FROM observes GROUP BY 1) o ON p.name = o.name""")
+def notification_graph(p):
+    return notify.by_notification(p.posts, p.observes).select("name", F.array_join("posters", ",").alias("posters"), F.array_join("observers", ",").alias("observers"))
+
+
+@query("SELECT dst AS usr, string_agg(DISTINCT src, ',' ORDER BY src) AS registrations FROM observes GROUP BY 1")
+def notification_by_observer(p):
+    return notify.by_observer(p.observes).select("usr", F.array_join("registrations", ",").alias("registrations"))
+
+
+@query("SELECT src AS name, count(DISTINCT dst) AS observers FROM observes WHERE src NOT IN (SELECT dst FROM posts WHERE dst <> 'error') GROUP BY 1")
+def notification_observer_only(p):
+    return notify.observer_only(p.posts.where("dst <> 'error'"), p.observes)
+
+
+@query("SELECT o.dst AS usr, o.src AS notification, coalesce(n, 0)::BIGINT AS posters FROM observes o LEFT JOIN (SELECT dst, count(DISTINCT src) AS n FROM posts GROUP BY 1) p ON p.dst = o.src")
+def callback_hints(p):
+    return notify.callback_hints(p.posts, p.observes)
+
+
+_ENTRIES = """outs AS (SELECT src AS usr, count(*) AS callees FROM calls GROUP BY 1 HAVING count(*) >= 3), ins AS (SELECT dst AS usr, count(*) AS callers FROM calls GROUP BY 1),
+   entries AS (SELECT o.usr, s.name, o.callees, coalesce(i.callers, 0)::BIGINT AS callers, round(o.callees / (coalesce(i.callers, 0) + 1), 6) AS score
+     FROM (SELECT o.* FROM outs o ORDER BY callees DESC, usr LIMIT 200) o JOIN symbols s ON s.usr = o.usr LEFT JOIN ins i ON i.usr = o.usr)"""
+
+
+@query(_ENTRIES + " --body SELECT * FROM entries")
+def entry_points(p):
+    return flows.entry_points(p.symbols, p.calls)
+
+
+_STEPS = "RECURSIVE " + _ENTRIES + """, sure AS (SELECT * FROM calls WHERE confidence >= 0.5),
+   walk(seed, id, depth) AS (SELECT usr, usr, 0 FROM entries UNION SELECT w.seed, c.dst, w.depth + 1 FROM walk w JOIN sure c ON c.src = w.id WHERE w.depth < 3),
+   reached AS (SELECT seed, id, min(depth) AS depth FROM walk WHERE id <> seed GROUP BY 1, 2),
+   chosen AS (SELECT r.seed FROM (SELECT seed FROM reached GROUP BY 1 HAVING count(*) >= 3) r JOIN entries e ON e.usr = r.seed ORDER BY e.score DESC, r.seed LIMIT 75),
+   steps AS (SELECT 'proc_' || substr(md5(r.seed), 1, 12) AS process_id, r.seed AS entry, r.id AS usr, r.depth::BIGINT AS depth, row_number() OVER (PARTITION BY r.seed ORDER BY r.depth, r.id) AS step
+     FROM reached r JOIN chosen c ON c.seed = r.seed)"""
+
+
+def _steps(p):
+    return flows.flow_steps(p.symbols, p.calls, flows.entry_points(p.symbols, p.calls), max_depth=3)
+
+
+@query(_STEPS + " --body SELECT * FROM steps")
+def process_steps(p):
+    return _steps(p)
+
+
+@query(_STEPS + """ --body SELECT e.process_id, e.entry, a.name || ' → ' || b.name AS label, (e.n + 1)::BIGINT AS step_count FROM
+   (SELECT process_id, entry, arg_max(usr, step) AS last, max(step) AS n FROM steps GROUP BY 1, 2) e JOIN symbols a ON a.usr = e.entry JOIN symbols b ON b.usr = e.last""")
+def process_summary(p):
+    return flows.flow_summary(_steps(p), p.symbols).select("process_id", "entry", "label", "step_count")
+
+
+@query()
+def communities(p):
+    return flows.communities(p.calls)
+
+
+_QUERY_VECTOR = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
+
+
+def _query_vector(p) -> list[float]:
+    return list(p.table("embeddings").where("vec_id = 0").first()["embedding"])
+
+
+@query(f"SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 4) AS score FROM embeddings, {_QUERY_VECTOR} ORDER BY score DESC, id LIMIT 10")
+def cosine_topk(p):
+    return rank.cosine_top(p.table("embeddings"), _query_vector(p), 10, "vec_id")
+
+
+@query("SELECT doc_id, md5(text) AS content_md5 FROM documents WHERE contains(lower(text), 'mit license')")
+def substring_search(p):
+    return rank.substring_hits(p.table("documents"), "MIT License", "doc_id", "text").select(F.col("id").alias("doc_id"), F.md5("content").alias("content_md5"))
+
+
+_VEC = f"vec AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 4) AS score FROM embeddings, {_QUERY_VECTOR} ORDER BY score DESC, id LIMIT 20)"
+
+
+def _vec(p):
+    return rank.cosine_top(p.table("embeddings"), _query_vector(p), 20, "vec_id")
+
+
+@query(_VEC + """, lab AS (SELECT vec_id AS id FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 20), fused AS (
+     SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id)) AS s FROM vec UNION ALL SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY id)) FROM lab)
+   --body SELECT id, round(sum(s), 9) AS score FROM fused GROUP BY id""")
+def rrf_hybrid(p):
+    label = p.table("embeddings").where("label = 3").select(F.col("vec_id").alias("id")).orderBy("id").limit(20)
+    return rank.fuse(rank.ranks(_vec(p), F.desc("score"), "id"), rank.ranks(label, "id"))
+
+
+@query(_VEC + """, d AS (SELECT doc_id, text FROM documents), v AS (SELECT vec.id, d.text AS content, score FROM vec JOIN d ON d.doc_id = vec.id),
+   t AS (SELECT doc_id AS id, text AS content FROM d WHERE contains(lower(text), 'license') AND text NOT IN (SELECT content FROM v))
+   --body SELECT id, md5(content) AS content_md5, score FROM (SELECT * FROM v UNION ALL SELECT id, content, 0.5 FROM t) ORDER BY score DESC, id LIMIT 10""")
+def semantic_union(p):
+    docs = p.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return rank.semantic_union(docs.join(_vec(p), "id"), rank.substring_hits(docs, "license")).select("id", F.md5("content").alias("content_md5"), "score")
+
+
+@query("""SELECT ':' || usr || ':chunk:' || CASE WHEN kind IN ('class', 'struct', 'enum', 'protocol') THEN 'type' ELSE 'method' END AS id, usr AS owner_usr, kind || ' ' || name AS content FROM symbols""")
+def chunk_build(p):
+    return derive.chunks(p.symbols).select("id", "owner_usr", "content")
+
+
+@query("""SELECT id, CASE WHEN toolchain_id <> '1-URGENT' THEN 'toolchain_mismatch' WHEN build_config_hash <> 'F' THEN 'build_mismatch' ELSE 'fresh' END AS status FROM snapshots""")
+def freshness_status(p):
+    return p.snapshots.select("id", L.freshness(F.col("toolchain_id"), F.col("build_config_hash"), "1-URGENT", "F").alias("status"))
+
+
+@query("SELECT arg_max(id, created_at || lpad(substr(id, 3), 12, '0')) AS id, max(created_at) AS created_at FROM snapshots")
+def latest_snapshot(p):
+    key = F.concat("created_at", F.lpad(F.substring("id", 3, 12), 12, "0"))
+    return p.snapshots.agg(F.max_by("id", key).alias("id"), F.max("created_at").alias("created_at"))
+
+
+@query("SELECT DISTINCT 'o:' || o_orderkey AS path FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS ts FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE ts IS NULL OR ts > TIMESTAMP '1998-01-01'")
+def changed_files(p):
+    files = p.table("orders").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("path"))
+    units = p.table("lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("unit_ts")).select(F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("path"), "unit_ts")
+    return mutate.changed_files(files, units, F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")).distinct()
+
+
+@query("SELECT path, count(*) AS symbols FROM (SELECT file_path AS path FROM symbols WHERE coalesce(file_path, '') <> '' AND file_path NOT LIKE '/ws/Brand#4/%') GROUP BY path")
+def stale_files(p):
+    files = mutate.files_of(p.symbols).select("path")
+    stale = files.where(~F.col("path").startswith("/ws/Brand#4/"))
+    return p.symbols.select(F.col("file_path").alias("path")).join(stale, "path").groupBy("path").agg(F.count("*").alias("symbols"))
+
+
+@query("""SELECT usr AS id, CASE WHEN usr LIKE 'p:%' AND module = 'Brand#4' THEN 'renamed' ELSE name END AS name, CASE WHEN usr LIKE 'p:%' AND module = 'Brand#4' THEN 'updated' WHEN usr LIKE 'c:%' THEN 'inserted' ELSE 'kept' END AS change FROM symbols""")
+def symbol_merge(p):
+    s = p.symbols.withColumn("id", F.col("usr"))
+    new = s.where("usr like 'c:%' or usr like 'p:%'").withColumn("name", F.when(F.col("usr").startswith("p:") & (F.col("module") == "Brand#4"), "renamed").otherwise(F.col("name")))
+    return mutate.upsert(s.where("usr not like 'c:%'"), new).select("id", "name", "change")
+
+
+@query("""SELECT 'p:' || a.l_partkey AS src, 's:' || a.l_suppkey AS dst, CASE WHEN max((l_returnflag = 'N')::int) = 1 THEN 'source_direct' ELSE 'indexstore_relation_only' END AS reason FROM lineitem a GROUP BY 1, 2""")
+def calls_upsert(p):
+    rel = p.table("lineitem").select(F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("from_usr"), F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("to_usr"), F.lit("calledBy").alias("role"), F.when(F.col("l_returnflag") == "N", "call").otherwise("").alias("occurrence_role"))
+    return mutate.call_edges(rel).select("src", "dst", "reason")
+
+
+@query("SELECT usr FROM (SELECT src AS usr FROM posts UNION SELECT dst FROM observes) WHERE usr NOT IN (SELECT usr FROM symbols)")
+def placeholder_nodes(p):
+    ends = p.posts.select("src", F.lit(None).cast("string").alias("dst")).unionByName(p.observes.select(F.lit(None).cast("string").alias("src"), "dst"))
+    return mutate.placeholders(ends, p.symbols).select("usr")
+
+
+@query("SELECT src, dst FROM calls WHERE src NOT IN (SELECT usr FROM symbols WHERE file_path LIKE '/ws/Brand#4/%')")
+def incremental_retract(p):
+    changed = p.symbols.where("file_path like '/ws/Brand#4/%'").select(F.col("file_path").alias("path")).distinct()
+    return mutate.retract(p.symbols, p.calls.select("src", "dst"), changed)[1]
+
+
+@query("""SELECT file_path, old_name, 'fresh_name' AS new_name, count(*) AS n FROM (SELECT t.file_path, t.name AS old_name FROM symbols t WHERE usr = 'p:154'
+   UNION ALL SELECT s.file_path, t.name FROM calls c JOIN symbols s ON s.usr = c.src JOIN symbols t ON t.usr = c.dst WHERE c.dst = 'p:154') GROUP BY 1, 2""")
+def rename_plan(p):
+    return rename.sites(p.symbols, p.calls, TARGET, "fresh_name")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'handle' || l_linenumber || ':' ELSE 'stop' END AS selector FROM lineitem WHERE l_quantity >= 45")
+def method_selectors(p):
+    head = F.when(F.col("l_returnflag") == "N", F.concat(F.lit("- (void)handle"), F.col("l_linenumber").cast("string"), F.lit(":(id)sender {"))).otherwise("+ (BOOL)stop {")
+    return p.table("lineitem").where("l_quantity >= 45").select("l_orderkey", "l_linenumber", P.method_selector(head).alias("selector"))
+
+
+@query("""SELECT role, l_linestatus AS path, count(*) AS n FROM (SELECT l_linestatus, CASE l_returnflag WHEN 'N' THEN 'observes' WHEN 'R' THEN 'posts' ELSE 'target_action' END AS role FROM lineitem) GROUP BY 1, 2""")
+def source_wiring(p):
+    f = F.col("l_returnflag")
+    text = F.when(f == "N", "[[NSNotificationCenter defaultCenter] addObserver:self selector:@selector(handle:) name:Foo object:nil];").when(f == "R", "[center postNotificationName:Foo object:nil];").otherwise("[b addTarget:self action:@selector(tap:) forControlEvents:UIControlEventTouchUpInside];")
+    blocks = p.table("lineitem").select(F.col("l_linestatus").alias("path"), F.col("l_linenumber").alias("line"), text.alias("text"))
+    return notify.wiring(blocks).groupBy("role", "path").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT user_id, count(*) AS bursts, sum(n)::BIGINT AS events FROM (SELECT user_id, burst, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst
+   FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY 1, 2) GROUP BY 1""")
+def event_bursts(p):
+    from ..streaming.ingest import bursts
+
+    found = bursts(p.table("events").select(F.col("user_id").alias("key"), "ts"), "1 hour")
+    return found.groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("bursts"), F.sum("n").alias("events"))

@@ -55,12 +55,13 @@ def view_tree(views: DataFrame, bodies: DataFrame, calls: DataFrame) -> DataFram
 def body_owners(bodies: DataFrame, views: DataFrame) -> DataFrame:
     """(usr, owner): the view whose id is the longest prefix of a body's id, or the other way round.
 
-    The prefix join is keyed by the first eight characters of both ids, so it is an equi-join; ids shorter
-    than that are keyed by what they have.
+    One side's id is spread to its prefixes and joined to the other's whole id, so both are equi-joins.
     """
-    b, v = bodies.select("usr", F.substring("usr", 1, 8).alias("k")), views.select(F.col("usr").alias("owner"), F.substring("usr", 1, 8).alias("k"))
-    fits = F.expr("startswith(usr, owner) or startswith(owner, usr)")
-    return b.join(v, "k").where(fits).groupBy("usr").agg(F.max_by("owner", F.struct(F.length("owner"), F.col("owner"))).alias("owner"))
+    prefixes = lambda df, c: df.select(c, F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(F.col(c), F.lit(1), i))).alias("k"))
+    b, v = bodies.select("usr").where("usr <> ''"), views.select(F.col("usr").alias("owner")).where("owner <> ''")
+    inside = prefixes(b, "usr").join(v, F.col("k") == F.col("owner")).select("usr", "owner")
+    around = prefixes(v, "owner").join(b, F.col("k") == F.col("usr")).select("usr", "owner")
+    return inside.unionByName(around).groupBy("usr").agg(F.max_by("owner", F.struct(F.length("owner"), F.col("owner"))).alias("owner"))
 
 
 def navigation(owners: DataFrame, views: DataFrame, within_module: bool = False) -> DataFrame:

@@ -37,8 +37,9 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption"
 ELEMENTS = frozenset("nav aside header footer form button label menu dialog figure article main section table ul ol a p h1 h2 h3 li blockquote div address".split())
 
 
-#: A feature that scores less than this decides alone.
-VETO = -1.5
+#: A feature that scores less than this decides alone. Its words are left out in any case, so they cost a run
+#: little: an advert inside an article must not cut the article off.
+VETO, VETOED = -1.5, -0.3
 
 
 class Weights:
@@ -51,7 +52,7 @@ class Weights:
         """Score of a word. One clear sign of boilerplate outweighs all that speaks for main text round it."""
         known = [self.of[f] for f in features if f in self.of]
         low = min(known, default=0.0)
-        return max(-3.0, min(1.0, self.bias + (low if low < VETO else sum(known))))
+        return VETOED if low < VETO else max(-1.0, min(1.0, self.bias + sum(known)))
 
 
 def _element(tag: str, attrs: str) -> tuple[frozenset[str], bool]:

@@ -41,7 +41,8 @@ def labelled_urls() -> list[tuple[str, int]]:
     forms = ["http://{}.example.com/", "https://www.{}.example.org/en/12", "https://m.{}.example.net/a.html", "http://blog.{}.example.com/de/7/", "https://site.example.org/{}/3"]
     bait = UNWANTED + [f.format(t) for t in UNWANTED for f in ("{}-win", "{}-online", "best-{}")]
     table = [(f.format(t), y) for terms, y in ((bait, 1), (HARMLESS, 0)) for t in terms for f in forms]
-    return table + [(forms[i % len(forms)].format(name), 0) for i, name in enumerate(names)]
+    short = [f"http://{c}.{end}" for c in "abcdefghijklmnopqrstuvwxyz" for end in ("com", "net", "org", "net/en/1", "org/fr")] + [""] * 40
+    return table + [(forms[i % len(forms)].format(name), 0) for i, name in enumerate(names)] + [(u, 0) for u in short]
 
 
 def _grams(host: str, path: str) -> np.ndarray:

@@ -27,3 +27,22 @@ def diff(lines: DataFrame, plan: DataFrame, old: str, new: str) -> DataFrame:
     """(path, line, before, after) of the lines (path, line, text) that change in the planned files."""
     inside = lines.join(plan.select(F.col("file_path").alias("path")).distinct(), "path", "left_semi")
     return inside.withColumn("after", renamed(F.col("text"), old, new)).where("after <> text").select("path", "line", F.col("text").alias("before"), "after")
+
+
+def apply(spark, plan: DataFrame) -> int:
+    """Write the renamed text of every planned file; returns how many files changed.
+
+    A plan names the files of one symbol, one after the other; a file is staged and renamed over the old one.
+    """
+    from ..store import Files
+
+    changed = 0
+    for r in plan.toLocalIterator():
+        folder, _, name = r["file_path"].rpartition("/")
+        files = Files(spark, folder or ".")
+        before = files.read(name)
+        after = None if before is None else re.sub(rf"\b{re.escape(r['old_name'])}\b", r["new_name"], before)
+        if after is not None and after != before:
+            files.replace(name, after)
+            changed += 1
+    return changed

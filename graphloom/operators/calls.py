@@ -96,3 +96,22 @@ def drop_noise(rows: DataFrame, name: str = "name") -> tuple[DataFrame, DataFram
     """(rows without noise symbols, one row with the number removed)."""
     noise = L.is_noise(F.col(name))
     return rows.where(~noise), rows.agg(F.coalesce(F.sum(noise.cast("long")), F.lit(0)).alias("removed"))
+
+
+def grouped(rows: DataFrame, by: list[str], order: list[str], cap: int = 30) -> DataFrame:
+    """``rows`` with the first ``cap`` of each group in order, the group's total and whether it was cut."""
+    w = W.partitionBy(*by).orderBy(*order)
+    total = rows.groupBy(*by).agg(F.count("*").alias("total"))
+    first = rows.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= cap)
+    return first.join(total, by).withColumn("truncated", F.col("total") > cap)
+
+
+def capped(members: DataFrame, limit: int) -> DataFrame:
+    """(owner, usr, name): members of owners in order of owner and name until ``limit`` are taken over all owners.
+
+    Owners' counts are summed first, so the only global window is over one row an owner.
+    """
+    counts = members.groupBy("owner").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("owner").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < limit)
+    place = F.row_number().over(W.partitionBy("owner").orderBy("name", "usr"))
+    return members.join(before.select("owner", "before"), "owner").withColumn("place", place).where(F.col("before") + F.col("place") <= limit).select("owner", "usr", "name")

@@ -552,3 +552,139 @@ def event_bursts(p):
 
     found = bursts(p.table("events").select(F.col("user_id").alias("key"), "ts"), "1 hour")
     return found.groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("bursts"), F.sum("n").alias("events"))
+
+
+@query("SELECT src, dst, CASE WHEN reason = 'indexstore_relation_only' THEN 'inferred' ELSE 'compiler-verified' END AS confidence FROM calls")
+def reason_confidence(p):
+    return p.calls.select("src", "dst", L.confidence_of(F.col("reason")).alias("confidence"))
+
+
+@query("SELECT event_id, event_type = 'view' AS callback FROM events")
+def framework_callbacks(p):
+    return _selectors(p).select("event_id", L.is_framework_callback(F.col("selector")).alias("callback"))
+
+
+@query("""SELECT p_partkey, round(p_size / (p_size % 7 + 1) * CASE p_type WHEN 'SMALL' THEN 0.5 WHEN 'LARGE' THEN 0.5 ELSE 1 END
+     * CASE p_type WHEN 'PROMO' THEN 3.0 WHEN 'ECONOMY' THEN 2.5 WHEN 'STANDARD' THEN 2.0 WHEN 'LARGE' THEN 1.5 ELSE 1 END, 6) AS score FROM part""")
+def entry_scores(p):
+    t = F.col("p_type")
+    name = F.when(t == "PROMO", "application:open").when(t == "ECONOMY", "handlePush").when(t == "STANDARD", "notifyAll").when(t == "SMALL", "initWithFoo").when(t == "LARGE", "reportTo").otherwise("run")
+    name = F.when(t == "LARGE", "viewDidLoad").otherwise(name)
+    score = L.entry_score(name, F.col("p_size"), F.col("p_size") % 7) * F.when(t == "LARGE", 0.5).otherwise(1.0)
+    return p.table("part").select("p_partkey", F.round(score, 6).alias("score"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'method' WHEN 'view' THEN 'class' WHEN 'signup' THEN 'function' WHEN 'error' THEN 'instanceProperty' ELSE 'macro' END AS kind FROM events")
+def symbol_kinds(p):
+    t = F.col("event_type")
+    raw = F.when(t == "click", "instanceMethod").when(t == "view", "Class").when(t == "signup", "constructor").when(t == "error", "staticProperty").otherwise("Macro")
+    return p.table("events").select("event_id", L.symbol_kind(raw).alias("kind"))
+
+
+@query("SELECT usr, 'proc_' || substr(md5(usr), 1, 12) AS process_id FROM symbols")
+def process_ids(p):
+    return p.symbols.select("usr", L.process_id(F.col("usr")).alias("process_id"))
+
+
+@query("SELECT o_orderkey, 'build-' || substr(sha256(o_orderstatus || '|' || o_orderpriority || '|' || o_custkey), 1, 12) AS build_id FROM orders")
+def build_ids(p):
+    return p.table("orders").select("o_orderkey", L.build_id(F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_custkey").cast("string")).alias("build_id"))
+
+
+@query("""SELECT usr, role, file, line, col FROM (SELECT 'p:' || l_partkey AS usr, CASE l_returnflag WHEN 'N' THEN 'definition' WHEN 'R' THEN 'declaration' ELSE 'reference' END AS role,
+     l_linestatus AS file, l_orderkey AS line, l_linenumber::BIGINT AS col, row_number() OVER (PARTITION BY l_partkey ORDER BY CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 1 ELSE 2 END, l_linestatus, l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn = 1""")
+def canonical_occurrences(p):
+    f = F.col("l_returnflag")
+    role = F.when(f == "N", "definition").when(f == "R", "declaration").otherwise("reference")
+    occ = p.table("lineitem").select(F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("usr"), role.alias("role"), F.col("l_linestatus").alias("file"), F.col("l_orderkey").alias("line"), F.col("l_linenumber").cast("long").alias("col"))
+    return mutate.canonical(occ).select("usr", "role", "file", "line", "col")
+
+
+@query("SELECT path, arg_min(module, usr) AS module, arg_min(language, usr) AS language FROM (SELECT file_path AS path, module, language, usr FROM symbols WHERE coalesce(file_path, '') <> '') GROUP BY 1")
+def file_nodes(p):
+    return mutate.files_of(p.symbols)
+
+
+@query("SELECT usr FROM symbols WHERE usr IN (SELECT src FROM calls UNION SELECT dst FROM calls)")
+def prune_symbols(p):
+    active = p.calls.select(F.col("src").alias("usr")).unionByName(p.calls.select(F.col("dst").alias("usr"))).distinct()
+    return mutate.prune(p.symbols, active).select("usr")
+
+
+@query("""SELECT path, line, text FROM (SELECT user_id AS path, event_id AS line, event_type, string_agg(event_type, chr(10)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS text FROM events) WHERE event_type = 'error'""")
+def context_lines(p):
+    from ..sources.files import blocks
+
+    return blocks(p.table("events").select(F.col("user_id").alias("path"), F.col("event_id").alias("line"), F.col("event_type").alias("text")), "error", 3)
+
+
+@query("""SELECT src, dst, place, total, total > 2 AS truncated FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS place, count(*) OVER (PARTITION BY src) AS total FROM calls) WHERE place <= 2""")
+def grouped_references(p):
+    return C.grouped(p.calls.select("src", "dst"), ["src"], ["dst"], 2).select("src", "dst", "place", "total", "truncated")
+
+
+@query("SELECT c.src AS owner, s.usr, s.name FROM contains c JOIN symbols s ON s.usr = c.dst ORDER BY c.src, s.name, s.usr LIMIT 70")
+def capped_members(p):
+    return C.capped(_members(p), 70)
+
+
+@query("SELECT event_type AS path, max(ts) AS newest FROM events GROUP BY 1")
+def change_probe(p):
+    return p.table("events").groupBy(F.col("event_type").alias("path")).agg(F.max("ts").alias("newest"))
+
+
+@query("""RECURSIVE walk(seed, id, depth) AS (SELECT DISTINCT dst, dst, 0 FROM calls UNION SELECT w.seed, c.src, w.depth + 1 FROM walk w JOIN calls c ON c.dst = w.id WHERE w.depth < 3)
+   --body SELECT seed, id, min(depth)::BIGINT AS depth FROM walk WHERE id <> seed GROUP BY seed, id""")
+def bfs_multi_source(p):
+    return T.bfs(p.calls, p.calls.select(F.col("dst").alias("usr")), 3, reverse=True)
+
+
+@query("""SELECT l_linestatus AS key, count(*) AS bindings FROM (SELECT DISTINCT l_linestatus, l_linenumber FROM lineitem WHERE l_returnflag = 'A') GROUP BY 1""")
+def target_action_graph(p):
+    text = F.lit("[b addTarget:self action:@selector(tap:) forControlEvents:UIControlEventTouchUpInside];")
+    blocks = p.table("lineitem").where("l_returnflag = 'A'").select(F.col("l_linestatus").alias("path"), F.col("l_linenumber").alias("line"), text.alias("text"))
+    found = notify.resolve_callbacks(notify.wiring(blocks), p.symbols)
+    return notify.target_actions(found, selector="tap:", group_by="path").select("key", F.size("bindings").cast("long").alias("bindings"))
+
+
+@query("SELECT rel_type, CASE WHEN rel_type = 'Contains' THEN dst ELSE src END AS src, CASE WHEN rel_type = 'Contains' THEN src ELSE dst END AS dst FROM (SELECT CASE rel_type WHEN 'Inherits' THEN 'Inherits' ELSE 'Contains' END AS rel_type, src, dst FROM hierarchy)")
+def document_relations(p):
+    kind = F.when(F.col("rel_type") == "Inherits", "inheritsFrom").otherwise("memberOf")
+    rel = p.hierarchy.select(F.col("src").alias("source"), F.col("dst").alias("target"), kind.alias("kind")).unionByName(p.hierarchy.select(F.col("src").alias("source"), F.lit("nowhere").alias("target"), F.lit("memberOf").alias("kind")))
+    return mutate.document_edges(rel, p.symbols)
+
+
+@query("SELECT DISTINCT src, dst FROM posts p JOIN symbols s ON s.usr = replace(p.src, 'u:', 'p:') WHERE false UNION SELECT DISTINCT 's:' || l_suppkey, 'p:' || l_partkey FROM lineitem")
+def reference_load(p):
+    rel = p.table("lineitem").select(F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("from_usr"), F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("to_usr"), F.lit("references").alias("role"))
+    return mutate.reference_edges(rel.unionByName(rel.limit(5).withColumn("to_usr", F.lit("gone"))), p.symbols)
+
+
+@query("SELECT usr, CASE WHEN usr LIKE 'p:%' THEN name ELSE upper(name) END AS name, kind FROM symbols")
+def merged_sources(p):
+    s = p.symbols.select("usr", "name", "kind")
+    first = s.where("usr like 'p:%' or usr like 's:%'").withColumn("name", F.when(F.col("usr").startswith("p:"), F.col("name")).otherwise(F.lit("")))
+    second = s.where("usr not like 'p:%'").withColumn("name", F.upper("name")).withColumn("kind", F.when(F.col("usr").startswith("s:"), F.lit("other")).otherwise(F.col("kind")))
+    return mutate.merge_sources(first, second)
+
+
+@query("SELECT id, CASE WHEN toolchain_id <> '1-URGENT' OR build_config_hash <> 'F' THEN 'partially_stale' ELSE 'fresh' END AS status FROM snapshots")
+def search_freshness(p):
+    return p.snapshots.select("id", L.search_freshness(L.freshness(F.col("toolchain_id"), F.col("build_config_hash"), "1-URGENT", "F")).alias("status"))
+
+
+@query("SELECT 'T' || p_partkey AS type_name, 'class' AS type_kind, unnest(['Codable', 'P' || p_size]) AS protocol_name, p_brand AS module FROM part")
+def interface_conformances(p):
+    from ..sources.documents import conformances
+
+    text = F.concat(F.lit("public class T"), F.col("p_partkey").cast("string"), F.lit(" : NSObject, Swift.Codable, P"), F.col("p_size").cast("string"), F.lit("<Int> {\n}"))
+    return conformances(p.table("part").select(text.alias("value"), F.col("p_brand").alias("module")))
+
+
+@query("""SELECT from_usr, to_usr, role, count(*) AS rows FROM (SELECT DISTINCT 's:' || l_suppkey AS from_usr, 'p:' || l_partkey AS to_usr, 'calledBy' AS role, l_returnflag FROM lineitem) GROUP BY ALL""")
+def relation_dedup(p):
+    from ..sources.scan import dedup_relations
+
+    key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    rel = p.table("lineitem").select(key("s:", "l_suppkey").alias("from_usr"), key("p:", "l_partkey").alias("to_usr"), F.lit("calledBy").alias("role"), F.col("l_returnflag").alias("occurrence_role"), F.col("l_linestatus").alias("file"), F.col("l_orderkey").alias("line"), F.col("l_linenumber").cast("long").alias("col"))
+    return dedup_relations(rel).groupBy("from_usr", "to_usr", "role").agg(F.count("*").alias("rows"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import pick
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title|object|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title|object|math)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<",
     re.S | re.I,
 )
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
@@ -76,7 +77,14 @@ def parse(page: str) -> list[tuple[str | None, frozenset[str], int]]:
     """
     out: list[tuple[str | None, frozenset[str], int]] = []
     stack: list[tuple[str, frozenset[str], bool]] = [("", frozenset(), False)]
+    is_open: Counter[str] = Counter()  # tags on the stack, so that it is searched for those only
     block = 0
+
+    def close(i: int) -> None:
+        for name, _, _ in stack[i:]:
+            is_open[name] -= 1
+        del stack[i:]
+
     for m in _TOKEN.finditer(page):
         tag = m[3]
         if tag is None:
@@ -89,20 +97,21 @@ def parse(page: str) -> list[tuple[str | None, frozenset[str], int]]:
         if tag in BLOCK:
             block += 1
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if is_open[tag] else ():
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    close(i)
                     break
         else:
-            if tag in BLOCK:
+            if tag in BLOCK and is_open["p"]:
                 open_p = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
                 if open_p and not any(s[0] in ("table", "button", "object") for s in stack[open_p:]):
-                    del stack[open_p:]
+                    close(open_p)
+            if is_open[tag]:
                 for same, stop in (("li", ("ul", "ol", "menu")), ("dd", ("dl",)), ("dt", ("dl",)), ("tr", ("table",)), ("td", ("tr", "table")), ("th", ("tr", "table")), ("option", ("select",))):
                     if tag == same:
                         for i in range(len(stack) - 1, 0, -1):
                             if stack[i][0] == same:
-                                del stack[i:]
+                                close(i)
                                 break
                             if stack[i][0] in stop:
                                 break
@@ -110,6 +119,7 @@ def parse(page: str) -> list[tuple[str | None, frozenset[str], int]]:
                 own, hidden = _element(tag, m[4] or "")
                 _, above, dark = stack[-1]
                 stack.append((tag, above | own if own else above, dark or hidden))
+                is_open[tag] += 1
             elif tag == "br" and not stack[-1][2]:
                 out.append((" ", stack[-1][1], block))
         out.append((None, stack[-1][1], block))

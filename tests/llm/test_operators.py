@@ -95,6 +95,15 @@ def test_extract(page, want):
     assert got == want or (want == "cut in a tag" and got.startswith(want))
 
 
+def test_extract_is_linear_in_bad_markup():
+    import time
+
+    began = time.time()
+    for page in ("<a " * 60000, "<<<<" * 60000, '<a "' * 60000, "<!--" * 60000, "<script>" * 20000, "<p>word " * 30000, "<div>" * 20000 + "x", "<ul><li>" * 9000):
+        text_of(page)
+    assert time.time() - began < 20
+
+
 # packing
 
 

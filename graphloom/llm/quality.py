@@ -180,9 +180,10 @@ def learn_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     sample = marks.where(F.pmod(F.xxhash64(f"{PRE}id"), F.lit(1 << 20)) < rate)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     rows = rows.join(F.broadcast(sample), rows["doc_id"] == sample[f"{PRE}id"]).select("doc_id", "text", "q")
-    stats = statistics(rows, keep=("q",)).where(~base_failed())
-    got = stats.select("doc_id", (F.col("q") == 0).alias("bad"), *[feature(f).alias(f) for f in FEATURES]).collect()
-    return learn(sorted((r.asDict() for r in got), key=lambda r: (hash(r["doc_id"]) * 2654435761 % (1 << 32), *(r[f] for f in FEATURES))))
+    stats = statistics(rows, keep=("q",))
+    # the base rules are applied to the sample here: as a filter they would be pushed below the join, to all documents
+    got = stats.select("doc_id", (F.col("q") == 0).alias("bad"), base_failed().alias("failed"), *[feature(f).alias(f) for f in FEATURES]).collect()
+    return learn(sorted((r.asDict() for r in got if not r["failed"]), key=lambda r: (hash(r["doc_id"]) * 2654435761 % (1 << 32), *(r[f] for f in FEATURES))))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:

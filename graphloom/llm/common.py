@@ -73,3 +73,26 @@ def union_of_spans(starts: Column, k: int) -> Column:
         starts,
         lambda a: F.aggregate(F.transform(a, lambda p, j: F.least(F.lit(k), F.coalesce(F.get(a, j + 1) - p, F.lit(k))).cast("int")), F.lit(0), lambda x, y: x + y),
     )
+
+
+#: A group is hot if it holds more than one in HOT_SHARE of all rows; there are fewer such groups than HOT_SHARE.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, salt: list[str]) -> DataFrame:
+    """Inner join of ``rows`` to one row for each group on a long ``key``, even where a group is hot.
+
+    ``count`` is the group's number of rows. The hot groups, which are fewer than HOT_SHARE whatever the
+    input, are broadcast; their rows then travel by a hash of ``salt`` instead of the key, so none of the
+    shuffle's partitions gets them all. The rows of ``rows`` are read once.
+    """
+    total = groups.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    values = [c for c in groups.columns if c not in (key, count)]
+    side = lambda df, p: df.select(F.col(key).alias(f"{PRE}{p}"), *[F.col(c).alias(f"{PRE}{p}_{c}") for c in values])
+    hot, cool = side(groups.where(F.col(count) * HOT_SHARE > total), "h"), side(groups.where(F.col(count) * HOT_SHARE <= total), "c")
+    spread = rows.join(F.broadcast(hot), rows[key] == hot[f"{PRE}h"], "left")
+    spread = spread.withColumn(f"{PRE}k", F.when(F.col(f"{PRE}h").isNotNull(), F.xxhash64(F.lit(PRE), *salt)).otherwise(F.col(key)))
+    both = spread.join(cool, F.col(f"{PRE}k") == F.col(f"{PRE}c"), "left")
+    is_hot = F.col(f"{PRE}h").isNotNull()
+    both = both.where(is_hot | F.col(f"{PRE}c").isNotNull())
+    return both.select(*rows.columns, *[F.when(is_hot, F.col(f"{PRE}h_{c}")).otherwise(F.col(f"{PRE}c_{c}")).alias(c) for c in values])

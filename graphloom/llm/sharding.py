@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import PRE, cut
+from .common import PRE, cut, join_groups
 
 SHARDS, BITS = 24, 5
 
@@ -82,15 +82,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
         docs[id_col].cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(docs[text_col], F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("text_key"), *[k.alias(n) for k, n in zip(keys, names)],
     )
-    groups = rows.groupBy("text_key", "size").agg(*[F.min(n).alias(n) for n in names])
+    groups = rows.groupBy("text_key").agg(F.min("size").alias("size"), F.count("*").alias("n"), *[F.min(n).alias(n) for n in names])
     share = [i / (1 << bits) for i in range(1, 1 << bits)]
     cuts = groups.agg(*[F.percentile_approx(n, share, 10000).alias(n) for n in ("size", *names)]).first()
     steps = [sum(((F.col(n) > F.lit(v)).cast("int") for v in sorted(set(cuts[n] or []))), F.lit(0)) for n in ("size", *names)]
     total = len(steps)
     cell = sum((s.cast("long") * (1 << bits * (total - 1 - i)) for i, s in enumerate(steps)), F.lit(0).cast("long"))
-    placed = groups.withColumn("cell", cell).join(F.broadcast(curve(spark, total, bits)), "cell").select("text_key", "size", "hilbert")
+    placed = groups.withColumn("cell", cell).join(F.broadcast(curve(spark, total, bits)), "cell").select("text_key", "n", "hilbert")
     order = ["hilbert", "text_key", "size", "spread", "doc_id"]
-    laid = rows.select("doc_id", "size", "text_crc32", "text_key", F.xxhash64("doc_id").alias("spread")).join(placed, ["text_key", "size"])
+    slim = rows.select("doc_id", "size", "text_crc32", "text_key", F.xxhash64("doc_id").alias("spread"))
+    laid = join_groups(slim, cut(placed), "text_key", "n", ["doc_id"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = cut(laid.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "size", "text_crc32", "hilbert"))
     # ids of a checkpoint's rows: the partition above bit 33, the place in it below

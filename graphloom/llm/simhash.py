@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PRE, cut, pick, release
+from .common import PRE, cut, join_groups, pick, release
 from .components import connected_components
 
 SHINGLE_WORDS, MAX_DIFF, SEGMENTS = 4, 4, 16
@@ -167,14 +167,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = pick(docs, [(id_col, "long", "doc_id"), (text_col, "string", "text")])
     rows = cut(rows.select("doc_id", _fingerprints(k, seed)("text").alias("fp")))
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     groups = fingerprint_groups(least.select("fp"), max_diff, segments, dense, block)
-    named = least.join(groups, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
+    named = least.join(groups, "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("component"), "least")
     named = cut(named)
     release(docs.sparkSession)
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = named.select("fp", "component").join(names, "component").select("fp", "component_id")
-    return rows.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    final = named.select("fp", "n", "component").join(names, "component").select("fp", "n", "component_id")
+    return join_groups(rows, final, "fp", "n", ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -192,7 +192,7 @@ def impact_by_depth(p):
 
 
 @query(_IMPACT + """ --body SELECT 'p:154' AS seed, CASE WHEN n >= 10 THEN 'high' WHEN n >= 4 THEN 'medium' ELSE 'low' END AS risk, n AS direct_callers,
-     (SELECT module || ' ' || name || ' ' || kind FROM symbols WHERE usr = 'p:154') AS primary_surface, clusters AS d2_clusters
+     (SELECT module || ' ' || name || ' ' || kind FROM symbols WHERE usr = 'p:154') AS primary_surface, coalesce(clusters, '') AS d2_clusters
    FROM (SELECT count(*) FILTER (depth = 1)::BIGINT AS n, array_to_string(list_sort(list_distinct(list(s.module) FILTER (depth = 2)))[1:5], '|') AS clusters
      FROM found f JOIN symbols s ON s.usr = f.id)""")
 def impact_risk(p):

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas
 from ..functions import labels as L
 from ..operators import mutate
+from ..runtime import cut
 from ..sources import scan
 from ..store import Busy, GraphStore
 
@@ -38,7 +39,8 @@ def symbol_rows(records: DataFrame) -> DataFrame:
 
 def apply_scan(store: GraphStore, lines: DataFrame, changed: DataFrame | None = None, build_id: str = "") -> GraphStore:
     """Publish a snapshot with the records of ``lines`` (value) in place of those of the changed files (path)."""
-    symbols, relations = symbol_rows(scan.records(lines, "symbol")), scan.dedup_relations(scan.records(lines, "relation"))
+    # parsed once: every table of the snapshot is made from these two
+    symbols, relations = cut(symbol_rows(scan.records(lines, "symbol"))), cut(scan.dedup_relations(scan.records(lines, "relation")))
     changed = symbols.select(F.col("file_path").alias("path")).distinct() if changed is None else changed
     kinds = ["Calls", "Contains", "Inherits", "Extends", "Implements"]
     old, new_edges = store.nodes("Symbol"), {}
@@ -51,7 +53,7 @@ def apply_scan(store: GraphStore, lines: DataFrame, changed: DataFrame | None =
         want = schemas.edge_schema(k)
         new_edges[k] = schemas.conform(fresh, want).unionByName(schemas.conform(left, want)).distinct()
     ends = calls.select("src", "dst").unionByName(structure.select("src", "dst"))
-    all_symbols = schemas.conform(all_symbols, schemas.node_schema("Symbol")).unionByName(schemas.conform(mutate.placeholders(ends, all_symbols), schemas.node_schema("Symbol")))
+    all_symbols = cut(schemas.conform(all_symbols, schemas.node_schema("Symbol")).unionByName(schemas.conform(mutate.placeholders(ends, all_symbols), schemas.node_schema("Symbol"))))
     return store.commit({"Symbol": all_symbols, "File": mutate.files_of(all_symbols)}, new_edges)
 
 

@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, verified by Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, verified by Smith-Waterman alignment.
 
 The benchmark is a stated query set: its words are indexed in blocks of bounded size that travel to
-the scan of the documents, so no document text is ever shuffled. A first scan counts, over all
-documents, how many hold each benchmark n-gram. An n-gram is a seed of its item unless it is much more
-common than the item's own median, so stop-word runs never seed while a passage leaked into a third of
-the corpus still does. A second scan finds seeds, takes the window of words round each diagonal, and
-aligns it with the item; the score is the local alignment score over that of a perfect copy.
+the scan of the documents, so no document text is ever shuffled. Every benchmark n-gram that a document
+holds is a seed, however many documents hold it. The window of words round the diagonals of the seeds
+is aligned with the item, unless an upper bound of the score, by the words alone, is below the threshold
+already: runs of stop words end there, and no copy does. The score is the local alignment score over that
+of a perfect copy.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from .common import pick
 N, THRESHOLD = 3, 0.5
 #: Scores of the alignment.
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: An n-gram is a seed if its document count is at most COMMON times the item's median, or at most RARE.
-COMMON, RARE = 4, 8
 #: Benchmark words indexed at once; keys of three words then fit 63 bits.
 BLOCK_WORDS = 1_000_000
 
@@ -54,7 +52,7 @@ class Index:
         order = np.argsort(grams, kind="stable")
         self.grams, self.of, self.at = grams[order], self.of[order], self.at[order]
         self.distinct, self.first = np.unique(self.grams, return_index=True)
-        self.seed = np.ones(len(self.grams), dtype=bool)
+        self.mark = np.zeros(len(self.ids) + 1, dtype=np.int64)  # the last is for words not of the benchmark
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """Key of each n-gram of word ids; -1 where a word is not of the benchmark."""
@@ -80,13 +78,12 @@ class Index:
         hit = (d < len(self.distinct)) & (self.distinct[np.minimum(d, len(self.distinct) - 1)] == key[at])
         return at[hit], d[hit]
 
-    def choose_seeds(self, df: np.ndarray, common: float = COMMON, rare: int = RARE) -> None:
-        """``df``: documents that hold each of ``distinct``."""
-        each = df[np.searchsorted(self.distinct, self.grams)]
-        for i in range(len(self.items)):
-            own = self.of == i
-            if own.any():
-                self.seed[own] = each[own] <= max(rare, common * np.median(each[own]))
+    def most(self, item: np.ndarray, text: np.ndarray) -> int:
+        """Upper bound of the score of ``align``: a word of a span is a match if the item has it, else an error."""
+        self.mark[item] = 1
+        sums = np.concatenate(([0], np.cumsum(np.where(self.mark[text] > 0, MATCH, max(MISMATCH, GAP)))))
+        self.mark[item] = 0
+        return int((sums - np.minimum.accumulate(sums)).max())
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -121,11 +118,7 @@ def search(index: Index, text: str | None, threshold: float = THRESHOLD) -> list
     last = np.append(index.first[1:], len(index.grams))
     count = last[d] - index.first[d]
     post = np.repeat(index.first[d], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = np.repeat(at, count)[index.seed[post]]
-    post = post[index.seed[post]]
-    if not len(post):
-        return []
-    of, diag = index.of[post], at - index.at[post]
+    of, diag = index.of[post], np.repeat(at, count) - index.at[post]
     order = np.lexsort((diag, of))
     of, diag = of[order], diag[order]
     out: dict[int, tuple[int, float, int, int, int]] = {}
@@ -136,10 +129,11 @@ def search(index: Index, text: str | None, threshold: float = THRESHOLD) -> list
         if k < len(of) and of[k] == of[first] and diag[k] - diag[k - 1] <= slack and diag[k] - diag[first] <= 4 * len(y):
             continue
         lo, hi = max(0, int(diag[first]) - slack), min(len(x), int(diag[k - 1]) + len(y) + slack)
-        score, a, b = align(y, x[lo:hi])
-        share = score / (MATCH * len(y))
-        if share >= threshold and share > out.get(item, (0, 0.0))[1]:
-            out[item] = (item, share, lo + a, lo + b, k - first)
+        if index.most(y, x[lo:hi]) / (MATCH * len(y)) >= threshold:
+            score, a, b = align(y, x[lo:hi])
+            share = score / (MATCH * len(y))
+            if share >= threshold and share > out.get(item, (0, 0.0))[1]:
+                out[item] = (item, share, lo + a, lo + b, k - first)
         first = k
     return sorted(out.values())
 
@@ -160,30 +154,8 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, n: int, block_words
         yield part
 
 
-def _count(docs: DataFrame, index: Index) -> np.ndarray:
-    """Documents that hold each n-gram of the index: at most one number an n-gram comes to the driver."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(len(index.distinct), dtype=np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                df[np.unique(index.found(index.encode(text))[1])] += 1
-        at = np.flatnonzero(df)
-        yield pd.DataFrame({"gram": at, "n": df[at]})
-
-    df = np.zeros(len(index.distinct), dtype=np.int64)
-    for r in docs.select("text").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        df[r["gram"]] = r["n"]
-    return df
-
-
-def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = N, block_words: int = BLOCK_WORDS) -> list[Index]:
-    texts, out = pick(docs, [(text_col, "string", "text")]), []
-    for items in blocks(benchmark, item_col, item_text, n, block_words):
-        index = Index(items, n)
-        index.choose_seeds(_count(texts, index))
-        out.append(index)
-    return out
+def indexes(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", n: int = N, block_words: int = BLOCK_WORDS) -> list[Index]:
+    return [Index(items, n) for items in blocks(benchmark, item_col, item_text, n, block_words)]
 
 
 def _searcher(found: Iterable[Index], threshold: float):
@@ -205,12 +177,12 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     Null and empty texts copy nothing. Repeated documents are reported once each, items of one id and
     several texts once for each text. Extra columns are not read; empty tables give no rows.
     """
-    find = _searcher(indexes(docs, benchmark, text_col, **how), threshold)
+    find = _searcher(indexes(benchmark, **how), threshold)
     rows = pick(docs, [(id_col, "long", "doc_id"), (text_col, "string", "text")])
     return rows.select("doc_id", F.explode(find("text")).alias("h")).select("doc_id", "h.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, **how) -> DataFrame:
     """``docs`` without the rows that copy a benchmark item; the columns are kept as they are."""
-    find = _searcher(indexes(docs, benchmark, text_col, **how), threshold)
+    find = _searcher(indexes(benchmark, **how), threshold)
     return docs.where(F.size(find(docs[text_col])) == 0)

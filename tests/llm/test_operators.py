@@ -350,6 +350,30 @@ def test_contaminations(spark, texts):
     assert decontaminate.contaminations(docs(spark, []), bench).count() == 0
 
 
+def test_hot_copies_with_many_edits(spark):
+    rnd = random.Random(3)
+    item = [f"i{k}" for k in range(40)]
+    copy = [w if k % 5 < 3 else "EDITED" if k % 5 == 3 else w for k, w in enumerate(item)]
+    copy[4] = copy[10] = copy[20] = "EDITED"
+    left = {tuple(item[k : k + 3]) for k in range(38)} & {tuple(copy[k : k + 3]) for k in range(38)}
+    assert 0 < len(left) < 19  # under half of the item's 3-grams
+    noise = lambda: [f"n{rnd.randrange(10**6)}" for _ in range(60)]
+    chance = [(2000 + i, " ".join(noise() + item[i : i + 3] + noise())) for i in range(38)]  # each 3-gram once, by chance
+    for repeats in (8, 9, 60):
+        rows = [(i, " ".join(noise() + copy + noise())) for i in range(repeats)] + chance
+        got = decontaminate.contaminations(docs(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+        assert {r.doc_id for r in got.collect()} == set(range(repeats))
+
+
+def test_bound_of_alignment():
+    rnd = random.Random(8)
+    for _ in range(200):
+        item, text = ([rnd.randrange(12) for _ in range(rnd.randint(3, 20))] for _ in range(2))
+        index = decontaminate.Index([(1, [str(x) for x in item])])
+        x = index.encode(" ".join(map(str, text)))
+        assert index.most(index.items[0][1], x) >= decontaminate.align(index.items[0][1], x)[0]
+
+
 def test_leaks_of_the_table(spark, sf_dir, texts):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     flat = lambda t: " ".join(decontaminate.words(t))

@@ -102,6 +102,12 @@ def test_lines_match_brute_force(spark, how):
     assert sum(r.n_dropped for r in report) == sum(len(gone.get((i is not None, i or 0, t), ())) for i, t in rows if t is not None)
 
 
+def test_equal_short_lines_go(spark):
+    rows = [(1, "ietzte\n\n---\n\u4f60\u597d\uff0c\u4e16\u754c\u3002\n \n}"), (2, "\nIetzte!\n***\n \n--- \nall rights reserved\nab cd"), (3, "All rights reserved.\n\u4f60\u597d\uff0c\u4e16\u754c\u3002\nab ce\n}")]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "\n***\n \nall rights reserved\nab cd", 3: "ab ce"}
+
+
 def test_lines_of_empty_tables(spark):
     assert lines.dedup_lines(docs(spark, [])).count() == 0
     assert lines.line_report(docs(spark, [(1, None)])).first().n_lines == 0

@@ -108,6 +108,19 @@ def test_equal_short_lines_go(spark):
     assert got == {1: rows[0][1], 2: "\n***\n \nall rights reserved\nab cd", 3: "ab ce"}
 
 
+def test_lines_without_a_long_word_are_like(spark):
+    rnd = random.Random(11)
+    ws = ["".join(rnd.choice("abcdefghij") for _ in range(3)) for _ in range(60)]
+    near = [" ".join(ws[:i] + ["zz"] + ws[i + 1 :]) for i in range(5)]
+    bits = lambda text: np.unpackbits(np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split()], dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0) * 2 > len(text.split())
+    base, edge = bits(" ".join(ws)), [64 * i // lines.BLOCKS for i in range(lines.BLOCKS + 1)]
+    meet = lambda d: d.sum() <= lines.MAX_BITS and sum(not d[::-1][a:b].any() for a, b in itertools.pairwise(edge)) >= 2
+    like = [x for x in near if meet(bits(x) != base)]
+    assert like
+    got = lines.dedup_lines(docs(spark, [(0, " ".join(ws)), *((1 + i, x) for i, x in enumerate(like))])).collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.text) == [(0, " ".join(ws))]
+
+
 def test_lines_of_empty_tables(spark):
     assert lines.dedup_lines(docs(spark, [])).count() == 0
     assert lines.line_report(docs(spark, [(1, None)])).first().n_lines == 0

@@ -10,14 +10,14 @@ from . import decontaminate, licenses, sharding, urls
 from .common import table
 from .html import main_text
 from .language import identify
-from .lines import line_report
+from .lines import GAPS, line_report
 from .packing import pack
 from .quality import judge
 from .simhash import simhash_groups
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents"))
+    return line_report(table(spark, sf_dir, "documents"), gaps=GAPS)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,6 +121,24 @@ def test_lines_without_a_long_word_are_like(spark):
     assert sorted((r.doc_id, r.text) for r in got if r.text) == [(0, " ".join(ws))]
 
 
+def test_lines_of_one_edited_word_always_meet(spark):
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 8)))
+    rows = []
+    for k in range(60):
+        ws = [word() for _ in range(7 + k % 20)]
+        i = rnd.randrange(len(ws))
+        near = " ".join((ws[:i] + [word()] + ws[i + 1 :], ws[:i] + [word()] + ws[i:], ws[:i] + ws[i + 1 :])[k % 3])
+        if distance(" ".join(ws), near) <= 0.2 * max(len(" ".join(ws)), len(near)):
+            rows += [(2 * k, " ".join(ws)), (2 * k + 1, near)]
+    signs = [chr(0x4E00 + rnd.randrange(5000)) for _ in range(45)]
+    rows += [(1000, "".join(signs)), (1001, "".join(signs[:20] + signs[21:]))]
+    assert len(rows) > 100
+    left = {r.doc_id for r in lines.dedup_lines(docs(spark, rows), gaps=lines.GAPS).collect() if r.text}
+    assert left == {i for i, _ in rows if i % 2 == 0}
+    assert len({r.doc_id for r in lines.dedup_lines(docs(spark, rows)).collect() if r.text}) > len(left)
+
+
 def test_lines_of_empty_tables(spark):
     assert lines.dedup_lines(docs(spark, [])).count() == 0
     assert lines.line_report(docs(spark, [(1, None)])).first().n_lines == 0

@@ -157,8 +157,8 @@ def fingerprint_groups(fps: DataFrame, max_diff: int = MAX_DIFF, segments: int =
     return connected_components(edges).withColumnRenamed("node", "fp")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, max_diff: int = MAX_DIFF, segments: int = SEGMENTS, seed: int = 42, dense: int = DENSE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs``.
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, max_diff: int = MAX_DIFF, segments: int = SEGMENTS, seed: int = 42, dense: int = DENSE, block: int = BLOCK, text_key: bool = False) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs``; with ``text_key`` also the hash of its text.
 
     Fingerprints are 16 lower-case hexadecimal digits; component_id is the smallest id reachable.
     A null or blank text has fingerprint zero and is linked like any other. Repeated rows are returned
@@ -166,7 +166,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     has a null component_id). Other columns of ``docs`` are not read. An empty table gives no rows.
     """
     rows = pick(docs, [(id_col, "long", "doc_id"), (text_col, "string", "text")])
-    rows = cut(rows.select("doc_id", _fingerprints(k, seed)("text").alias("fp")))
+    key = ["text_key"] if text_key else []
+    rows = cut(rows.select("doc_id", _fingerprints(k, seed)("text").alias("fp"), *[F.xxhash64("text").alias(c) for c in key]))
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     groups = fingerprint_groups(least.select("fp"), max_diff, segments, dense, block)
     named = least.join(groups, "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("component"), "least")
@@ -174,7 +175,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(docs.sparkSession)
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     final = named.select("fp", "n", "component").join(names, "component").select("fp", "n", "component_id")
-    return join_groups(rows, final, "fp", "n", ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_groups(rows, final, "fp", "n", ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *key)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -183,6 +184,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     All columns are kept as they are. Rows with a null id stay (no order among them is defined), and
     so do repeated rows of the smallest id.
     """
-    groups = simhash_groups(docs, id_col, text_col, **how)
-    gone = groups.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(f"{PRE}id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone[f"{PRE}id"], "left_anti")
+    groups = simhash_groups(docs, id_col, text_col, text_key=True, **how)
+    gone = groups.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(f"{PRE}id"), F.col("text_key").alias(f"{PRE}key")).distinct()
+    same_text = F.xxhash64(docs[text_col].cast("string")) == gone[f"{PRE}key"]  # equal texts have one fingerprint
+    return docs.join(gone, (docs[id_col].cast("long") == gone[f"{PRE}id"]) & same_text, "left_anti")

@@ -229,3 +229,9 @@ def test_keep_one(spark):
     assert got.columns == docs(spark, rows).columns
     assert sorted(r.doc_id or -1 for r in got.collect()) == [-1, 1, 1, 2]
     assert simhash.simhash_groups(docs(spark, [])).count() == 0
+
+
+def test_keep_one_of_an_id_on_two_texts(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "other words stand here now"), (3, None), (2, None)]
+    got = simhash.keep_one(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == [(1, "a b c d e f"), (2, ""), (2, "other words stand here now")]

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import pick
 
 BITS = 14
-#: At most about so many rows of a language, chosen by a hash, train its distribution, and so many languages.
-TRAIN_ROWS, MAX_LANGUAGES = 4000, 64
+#: At most about so many rows of a language, chosen by a hash, train its distribution.
+TRAIN_ROWS = 4000
 #: Characters that one pass of the vectorised code takes at once (a longer text is a pass of its own).
 PASS_CHARS = 1_000_000
 
@@ -112,13 +112,11 @@ def train(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.
     if it has fewer. Counting is distributed; the driver gets at most 2**BITS sums a language.
     """
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = sorted(((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()), key=lambda r: (-r[1], r[0]))[:MAX_LANGUAGES]
-    langs = sorted(x for x, _ in sizes)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(sizes)
     if not langs:
         return [], np.zeros((1 << BITS, 0))
-    rate = F.lit(0)
-    for lang, n in sizes:
-        rate = F.when(F.col("lang") == lang, int(min(1.0, train_rows / n) * (1 << 20))).otherwise(rate)
+    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, train_rows / n) * (1 << 20)))]), F.col("lang"))
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,11 +129,10 @@ def train(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.
             at = np.flatnonzero(n)
             yield pd.DataFrame({"lang": lang, "gram": at.astype(np.int32), "n": n[at].astype(np.int64)})
 
-    got = sample.mapInPandas(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
+    got = sample.mapInPandas(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     n = np.full((1 << BITS, len(langs)), 0.5)
     at = {x: i for i, x in enumerate(langs)}
-    for r in got:
-        n[r["gram"], at[r["lang"]]] += r["n"]
+    n[got["gram"].to_numpy(), [at[x] for x in got["lang"].to_pylist()]] += got["n"].to_numpy()
     return langs, n / n.sum(axis=0)
 
 

@@ -52,6 +52,18 @@ def test_language_edges(spark):
     assert nothing.lang_pred == "und"
 
 
+def test_every_language_is_learned(spark):
+    rnd = random.Random(2)
+    rows = []
+    for k in range(70):
+        letters = rnd.sample("abcdefghijklmnopqrstuvwxyz", 6)
+        for i in range(12):
+            rows.append((100 * k + i, " ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(60)), f"l{k:02d}"))
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {d: x for d, _, x in rows}
+    assert {r.lang_pred for r in got if r.lang_pred == lang[r.doc_id]} == {f"l{k:02d}" for k in range(70)}
+
+
 def test_mixture_finds_both_parts():
     p = np.array([[0.7, 0.1], [0.2, 0.2], [0.1, 0.7]])
     w = language.infer(p, np.array([40.0, 20.0, 40.0]))

@@ -27,7 +27,9 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 1_000_000
 
 HITS = "array<struct<item_id:bigint,score:double,start_word:int,end_word:int,seeds:int>>"
-_WORD = re.compile(r"[^\W_]+")
+#: Letters of scripts without spaces (CJK, Kana, Thai, Lao, Khmer, Myanmar) are words of their own.
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"(?=[^\W_])[{_ALONE}]|[^\W_{_ALONE}]+")
 
 
 def words(text: str | None) -> list[str]:
@@ -41,6 +43,10 @@ class Index:
         self.n, self.ids, self.items = n, {}, []
         for item, ws in items:
             self.items.append((item, np.array([self.ids.setdefault(w, len(self.ids)) for w in ws], dtype=np.int64)))
+        self.short: dict[tuple[int, ...], list[int]] = {}  # items of fewer words than an n-gram match as a whole
+        for item, x in self.items:
+            if len(x) < n:
+                self.short.setdefault(tuple(x.tolist()), []).append(item)
         grams, of, at = [], [], []
         for i, (_, x) in enumerate(self.items):
             g = self.keys(x)
@@ -112,16 +118,20 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 def search(index: Index, text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, float, int, int, int]]:
     """(item, score, start word, end word, seeds) of each item that a text copies, its best span."""
     x = index.encode(text)
+    out: dict[int, tuple[int, float, int, int, int]] = {}
+    for size in {len(k) for k in index.short}:
+        for i, got in enumerate(zip(*[x[j:].tolist() for j in range(size)])):
+            for item in index.short.get(got, ()):
+                out.setdefault(item, (item, 1.0, i, i + size, 1))
     at, d = index.found(x)
     if not len(at):
-        return []
+        return sorted(out.values())
     last = np.append(index.first[1:], len(index.grams))
     count = last[d] - index.first[d]
     post = np.repeat(index.first[d], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     of, diag = index.of[post], np.repeat(at, count) - index.at[post]
     order = np.lexsort((diag, of))
     of, diag = of[order], diag[order]
-    out: dict[int, tuple[int, float, int, int, int]] = {}
     first = 0
     for k in range(1, len(of) + 1):
         item, y = index.items[of[first]]
@@ -139,12 +149,12 @@ def search(index: Index, text: str | None, threshold: float = THRESHOLD) -> list
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, n: int, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
-    """Distinct (item, words) in blocks of bounded size; items of fewer than ``n`` words cannot be told from chance."""
+    """Distinct (item, words) in blocks of bounded size."""
     rows = pick(benchmark, [(id_col, "long", "item_id"), (text_col, "string", "text")]).where("item_id is not null").distinct().orderBy("item_id", "text")
     part, size = [], 0
     for r in rows.toLocalIterator():
         ws = words(r["text"])
-        if len(ws) >= n:
+        if ws:
             part.append((r["item_id"], ws))
             size += len(ws)
         if size >= block_words:
@@ -174,7 +184,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """(doc_id, item_id, score, start_word, end_word, seeds) for each document and benchmark item it copies.
 
     Words are runs of letters and digits of the lower-cased text, counted from 0; the span is half open.
-    Null and empty texts copy nothing. Repeated documents are reported once each, items of one id and
+    Letters of scripts without spaces are words of their own. Items of fewer words than a seed match only as
+    a whole, word for word. Null and empty texts copy nothing; long texts are read whole; of equal scores the
+    first span counts. Repeated documents are reported once each, items of one id and
     several texts once for each text. Extra columns are not read; empty tables give no rows.
     """
     find = _searcher(indexes(benchmark, **how), threshold)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import pick
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title|object|math)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<",
     re.S | re.I,
 )
@@ -63,7 +63,10 @@ def _element(tag: str, attrs: str) -> tuple[frozenset[str], bool]:
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id", "role", "itemprop", "aria-label"):
-                out.update(f".{p}" for p in _PART.findall(value))
+                for whole in value.split():
+                    parts = _PART.findall(whole)
+                    plain = len(parts) == 1 or all(p in _PAGE_PARTS for p in parts)
+                    out.update(f"{'.' if plain else '~'}{p}" for p in parts)  # a topical word in a name: no sign of a page part
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 hidden = True
     return frozenset(out), hidden
@@ -162,6 +165,11 @@ BOILER_NAMES = (
 ).split()
 
 
+#: Words that say where a page part stands or what it holds, not what it is about (fixed values).
+PLACES = "site page main top bottom left right global inner outer wrap wrapper container box bar list item items link links area section block content col column row slot unit zone panel module group primary secondary mobile desktop sticky fixed new latest all bar title heading text btn button icon".split()
+_PAGE_PARTS = frozenset(BOILER_NAMES + CONTENT_NAMES + PLACES)
+
+
 def labelled_pages() -> list[list[tuple[str, bool]]]:
     """Labelled pages: (markup, is main text) parts of pages built from customary parts."""
     prose = "The city opened a new bridge over the river on Monday after years of work and long debate about its cost."
@@ -219,7 +227,8 @@ def train(pages: list[list[tuple[str, bool]]], steps: int = 800, rate: float = 1
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", labelled: list[list[tuple[str, bool]]] | None = None) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages``.
 
-    text is empty for a null, empty or textless page. Repeated rows and null ids are rows like any
+    text is empty for a null, empty or textless page; of runs of equal sums the first counts; long pages are read
+    whole. Repeated rows and null ids are rows like any
     other; extra columns are not read; an empty table gives no rows.
     """
     weights = train(labelled_pages() if labelled is None else labelled)

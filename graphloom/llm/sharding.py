@@ -19,6 +19,8 @@ from pyspark.sql.window import Window as W
 from .common import PRE, cut, join_groups
 
 SHARDS, BITS = 24, 5
+#: Distinct values of a text dimension from which its cuts are made, the most frequent of all rows.
+TOP_VALUES = 4096
 
 
 def hilbert_index(coords: Column, dims: int, bits: int) -> Column:
@@ -59,13 +61,25 @@ def curve(spark: SparkSession, dims: int, bits: int) -> DataFrame:
     return spark.range(1 << dims * bits).select(F.col("id").alias("cell"), hilbert_index(F.array(*[c.cast("int") for c in part]), dims, bits).alias("hilbert"))
 
 
-def _number(c: Column, kind: str) -> Column:
-    """An order-preserving number: the value, or the first six bytes of a text; null comes first."""
-    if kind == "string":
-        return F.coalesce(F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
+def _number(c: Column) -> Column:
+    """An order-preserving number; null comes first."""
     return F.coalesce(c.cast("double"), F.lit(float("-inf")))
 
 
+def _text_cuts(groups: DataFrame, name: str, bits: int) -> list[str]:
+    """At most 2**bits - 1 texts that cut the rows evenly, from the TOP_VALUES most frequent values of all rows."""
+    top = groups.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(TOP_VALUES).collect()
+    values = sorted((r[name].encode("utf-8", "surrogatepass"), r[name], r["n"]) for r in top)  # the order of Spark's strings
+    if len(values) < 1 << bits:
+        return [v for _, v, _ in values]
+    total, seen, cuts = sum(n for _, _, n in values), 0, []
+    for _, v, n in values:
+        seen += n
+        if seen * (1 << bits) >= (len(cuts) + 1) * total and len(cuts) < (1 << bits) - 1:
+            cuts.append(v)
+    return cuts
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("source", "lang"), bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and hilbert for every row of ``docs``.
 
@@ -75,7 +89,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     read; an empty table gives no rows. grown_shard is null under the law ``rows``.
     """
     spark, kinds = docs.sparkSession, dict(docs.dtypes)
-    keys = [_number(docs[d], kinds[d]) if d in kinds else F.lit(-1.0) for d in dims]
+    texts = [kinds.get(d) == "string" for d in dims]
+    keys = [(docs[d] if t else _number(docs[d])) if d in kinds else F.lit(-1.0) for d, t in zip(dims, texts)]
     names = [f"{PRE}{i}" for i in range(len(dims))]
     size = (F.coalesce(F.octet_length(docs[text_col]), F.lit(0)) + 8).cast("long")
     rows = docs.select(
@@ -84,8 +99,11 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     )
     groups = rows.groupBy("text_key").agg(F.min("size").alias("size"), F.count("*").alias("n"), *[F.min(n).alias(n) for n in names])
     share = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = groups.agg(*[F.percentile_approx(n, share, 10000).alias(n) for n in ("size", *names)]).first()
-    steps = [sum(((F.col(n) > F.lit(v)).cast("int") for v in sorted(set(cuts[n] or []))), F.lit(0)) for n in ("size", *names)]
+    numbers = ["size", *[n for n, t in zip(names, texts) if not t]]
+    first = groups.agg(*[F.percentile_approx(n, share, 10000).alias(n) for n in numbers]).first()
+    cuts = {n: sorted(set(first[n] or [])) for n in numbers} | {n: _text_cuts(groups, n, bits) for n, t in zip(names, texts) if t}
+    above = lambda n, v: F.coalesce(F.col(n) > F.lit(v), F.lit(False)) if n in numbers else F.coalesce(F.col(n) >= F.lit(v), F.lit(False))
+    steps = [sum((above(n, v).cast("int") for v in cuts[n]), F.lit(0)) for n in ("size", *names)]
     total = len(steps)
     cell = sum((s.cast("long") * (1 << bits * (total - 1 - i)) for i, s in enumerate(steps)), F.lit(0).cast("long"))
     placed = groups.withColumn("cell", cell).join(F.broadcast(curve(spark, total, bits)), "cell").select("text_key", "n", "hilbert")

@@ -27,17 +27,15 @@ RULES = [
 ]
 
 #: Host terms of the small labelled table: unwanted and harmless sites.
-UNWANTED = "adult xxx porn sex-cams escort casino poker slots betting free-bets jackpot lottery cheap-pills pills viagra pharma-deal replica payday loans-now crack warez torrent keygen malware phish get-rich miracle-diet ads-server ads-track tracker click-farm spam spam-mail adult-x".split()
-HARMLESS = "news journal museum library school university garden recipes weather science travel history music sports cinema poetry health city-council energy bakery football archive wiki docs forum photo market railway letters therin thonre ondale stirling brennt maison ciudad".split()
-
-
+UNWANTED = "adult xxx porn sex-cams xvideos escort casino poker pokerstars slots betting free-bets jackpot lottery cheap-pills pills viagra cialis tramadol pharma-deal replica payday loans-now crack warez torrent keygen malware phish get-rich miracle-diet ads-server ads-track tracker click-farm spam spam-mail adult-x nude webcam-girls hookup roulette blackjack cheap-meds xanax fake-watches".split()
+HARMLESS = "news journal museum library school university garden recipes weather science travel history music sports cinema poetry health city-council energy bakery football archive wiki docs forum photo market railway letters hospital theatre chess cycling biology physics chemistry opera parish village mountain harbour kitchen furniture carpenter pottery painting translation dictionary grammar teacher student nursery farmer orchard vineyard fishing sailing swimming climbing hiking camping festival concert orchestra gallery bookshop publisher newspaper magazine podcast radio television".split()
 #: Syllables of made-up harmless names, so that an unknown word alone is no sign of an unwanted site.
-SYLLABLES = "th er on an re he in ed nd ha at en es or nt ea ti to st ou ar le wh sh ing tion ble ly".split()
+SYLLABLES = [c + v for c in "bcdfghjklmnprstvwz" for v in "aeiou"]
 
 
 def labelled_urls() -> list[tuple[str, int]]:
     """The labelled table: (url, 1 for unwanted), each term in customary places."""
-    names = [a + b + c for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES) for c in SYLLABLES[(i + j) % 9 :: 9]]
+    names = [a + b + SYLLABLES[(7 * i + 11 * j) % len(SYLLABLES)] for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES) if (i + j) % 5 == 0]
     forms = ["http://{}.example.com/", "https://www.{}.example.org/en/12", "https://m.{}.example.net/a.html", "http://blog.{}.example.com/de/7/", "https://site.example.org/{}/3"]
     bait = UNWANTED + [f.format(t) for t in UNWANTED for f in ("{}-win", "{}-online", "best-{}")]
     table = [(f.format(t), y) for terms, y in ((bait, 1), (HARMLESS, 0)) for t in terms for f in forms]

@@ -78,20 +78,21 @@ def parse_frames(frames: DataFrame, column: str = "raw") -> DataFrame:
 def resolve_frames(frames: DataFrame, symbols: DataFrame, column: str = "raw") -> DataFrame:
     """(raw, outcome, strategy, usr, score): the best symbol for each frame.
 
-    Methods of that name score by container (100), expected owner id (90), owner in the id (20), namespace
-    (10) and exact name (5); ties go to the smaller id.
+    Methods of that name score by container (100), expected owner id (90), owner in the id (20) and
+    exact name (5); ties go to the smaller id.
     """
     parsed = frames.withColumn("f", P.frame(F.col(column)))
     s = symbols.select("usr", "name", "kind", F.coalesce("container_usr", F.lit("")).alias("box"))
+    names = parsed.select("*", F.explode_outer(F.array_distinct(F.array("f.symbol", F.regexp_replace("f.symbol", r"\(.*$", "")))).alias("wanted"))
     owners = parsed.join(s, F.col("f.owner") == s["name"]).groupBy(column).agg(F.slice(F.array_sort(F.collect_set("usr")), 1, 5).alias("owners"))
-    tried = parsed.join(owners, column, "left").join(s, (F.col("f.symbol") == s["name"]) | (F.regexp_replace(F.col("f.symbol"), r"\(.*$", "") == s["name"]), "left")
+    tried = names.join(owners, column, "left").join(s, F.col("wanted") == s["name"], "left")
     expected = P.expected_owners(F.col("f"))
     fits = F.exists(expected, lambda e: (F.col("box") == e) | F.col("usr").startswith(F.concat(e, F.lit("@"))) | F.col("usr").startswith(F.concat(e, F.lit("("))) | F.col("usr").startswith(F.concat(e, F.lit("."))))
     points = lambda test, n: F.when(test, n).otherwise(0)
     score = (
         points(F.array_contains("owners", F.col("box")), 100) + points(fits, 90) + points(F.col("box").contains(F.col("f.owner")) | F.col("usr").contains(F.col("f.owner")), 20) + points(F.col("name") == F.col("f.symbol"), 5)
     )
-    best = tried.withColumn("score", F.when(F.col("usr").isNotNull(), score)).groupBy(column).agg(F.max_by(F.struct("usr", "score", "f", "owners"), F.struct(F.coalesce("score", F.lit(-1)), F.lit(0))).alias("b"))
+    best = tried.withColumn("score", F.when(F.col("usr").isNotNull(), score)).groupBy(column).agg(F.min_by(F.struct("usr", "score", "f", "owners"), F.struct(-F.coalesce("score", F.lit(-1)), "usr")).alias("b"))
     outcome = F.when(F.col("b.f").isNull(), "parse_failed").when(F.col("b.usr").isNotNull(), F.when(F.col("b.score") >= 90, "match").otherwise("near_match")).when(F.col("b.owners").isNotNull(), "near_match").otherwise("no_match")
     strategy = F.when(F.col("b.usr").isNotNull() & F.col("b.owners").isNotNull(), "owner_symbol_fallback").when(F.col("b.usr").isNotNull(), "direct_symbol").when(F.col("b.owners").isNotNull(), "owner_only").otherwise("unresolved")
     return best.select(column, outcome.alias("outcome"), strategy.alias("strategy"), "b.usr", "b.score")

@@ -403,7 +403,7 @@ def entry_points(p):
 
 
 _STEPS = "RECURSIVE " + _ENTRIES + """, sure AS (SELECT * FROM calls WHERE confidence >= 0.5),
-   walk(seed, id, depth) AS (SELECT usr, usr, 0 FROM entries UNION SELECT w.seed, c.dst, w.depth + 1 FROM walk w JOIN sure c ON c.src = w.id WHERE w.depth < 3),
+   walk(seed, id, depth) AS (SELECT usr, usr, 0 FROM entries UNION SELECT w.seed, c.dst, w.depth + 1 FROM walk w JOIN sure c ON c.src = w.id WHERE w.depth < 10),
    reached AS (SELECT seed, id, min(depth) AS depth FROM walk WHERE id <> seed GROUP BY 1, 2),
    chosen AS (SELECT r.seed FROM (SELECT seed FROM reached GROUP BY 1 HAVING count(*) >= 3) r JOIN entries e ON e.usr = r.seed ORDER BY e.score DESC, r.seed LIMIT 75),
    steps AS (SELECT 'proc_' || substr(md5(r.seed), 1, 12) AS process_id, r.seed AS entry, r.id AS usr, r.depth::BIGINT AS depth, row_number() OVER (PARTITION BY r.seed ORDER BY r.depth, r.id) AS step
@@ -411,7 +411,7 @@ _STEPS = "RECURSIVE " + _ENTRIES + """, sure AS (SELECT * FROM calls WHERE confi
 
 
 def _steps(p):
-    return flows.flow_steps(p.symbols, p.calls, flows.entry_points(p.symbols, p.calls), max_depth=3)
+    return flows.flow_steps(p.symbols, p.calls, flows.entry_points(p.symbols, p.calls))
 
 
 @query(_STEPS + " --body SELECT * FROM steps")

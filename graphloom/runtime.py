@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; one is set only where none is."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; one is set only where none is.
+
+    A temporary folder of this machine serves local mode only (``local-cluster`` and clusters have to name one).
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

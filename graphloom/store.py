@@ -1,6 +1,6 @@
 """Versioned graph store: one Parquet folder for each table and snapshot.
 
-A snapshot is immutable. Writers stage a new folder and publish it by replacing a one-line pointer, so
+A snapshot is immutable. Writers stage a new folder and publish it by a numbered one-line pointer, so
 readers keep the snapshot that they opened. Edges are partitioned by type: a query for some types reads
 those folders only. A lock file makes one writer at a time; a second one gets ``Busy``.
 """
@@ -8,6 +8,7 @@ those folders only. A lock file makes one writer at a time; a second one gets ``
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterable
 from contextlib import contextmanager
@@ -20,6 +21,8 @@ from . import schemas
 
 #: Exit code of a command that finds the graph locked (fixed value).
 BUSY_EXIT_CODE = 23
+#: A lock of this age belongs to a writer that died.
+LOCK_SECONDS = 6 * 3600
 
 
 class Busy(RuntimeError):
@@ -62,12 +65,30 @@ class Files:
         self._fs.delete(self.at(name), True)
 
     def replace(self, name: str, text: str) -> None:
-        """Readers see the old or the new text: the file is staged, then renamed over the old one."""
-        staged = f".{name}.{uuid.uuid4().hex}"
+        """Readers see the old or the new text, and a crash leaves one of them.
+
+        Each text is a numbered file of its own, staged and then renamed to a name that did not exist; the
+        highest number counts. Files before the last but one go afterwards.
+        """
+        staged, last = f".{name}.{uuid.uuid4().hex}", max(self._numbers(name), default=0)
         self.write(staged, text)
-        if self.exists(name):
-            self.delete(name)
-        self._fs.rename(self.at(staged), self.at(name))
+        if not self._fs.rename(self.at(staged), self.at(f"{name}-{last + 1:012d}")):
+            self.delete(staged)
+            raise Busy(f"{self.root}: {name} was replaced by another writer")
+        for n in self._numbers(name):
+            if n < last:
+                self.delete(f"{name}-{n:012d}")
+
+    def _numbers(self, name: str) -> list[int]:
+        if not self._fs.exists(self.at("")):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self.at(""))]
+        return [int(n[len(name) + 1 :]) for n in names if n.startswith(f"{name}-") and n[len(name) + 1 :].isdigit()]
+
+    def latest(self, name: str) -> str | None:
+        """The text last put in place by ``replace``."""
+        last = max(self._numbers(name), default=None)
+        return None if last is None else self.read(f"{name}-{last:012d}")
 
 
 class GraphStore:
@@ -75,7 +96,7 @@ class GraphStore:
 
     def __init__(self, spark: SparkSession, root: str, version: str | None = None):
         self.spark, self.files = spark, Files(spark, root)
-        self.version = version or (self.files.read("CURRENT") or "").strip() or None
+        self.version = version or (self.files.latest("CURRENT") or "").strip() or None
 
     def _read(self, part: str, want) -> DataFrame:
         if self.version is None or not self.files.exists(f"{self.version}/{part}"):
@@ -92,15 +113,23 @@ class GraphStore:
 
     @contextmanager
     def lock(self):
-        """Hold the graph for writing; raises Busy if another writer does."""
+        """Hold the graph for writing; raises Busy if another writer does.
+
+        The lock names its owner and time. One older than ``LOCK_SECONDS`` was left by a writer that died, and is taken over.
+        """
+        owner = uuid.uuid4().hex
+        held = json.loads(self.files.read("LOCK") or "{}") if self.files.exists("LOCK") else {}
+        if held.get("time") and time.time() - held["time"] > LOCK_SECONDS:
+            self.files.delete("LOCK")
         try:
-            self.files.write("LOCK", "", overwrite=False)
+            self.files.write("LOCK", json.dumps({"owner": owner, "time": time.time()}), overwrite=False)
         except Exception as e:
             raise Busy(self.files.root) from e
         try:
             yield self
         finally:
-            self.files.delete("LOCK")
+            if json.loads(self.files.read("LOCK") or "{}").get("owner") == owner:
+                self.files.delete("LOCK")
 
     def commit(self, nodes: dict[str, DataFrame] | None = None, edges: dict[str, DataFrame] | None = None, keep: bool = True) -> "GraphStore":
         """A new snapshot with the given tables; ``keep`` carries the others over (else: full rebuild).
@@ -122,7 +151,7 @@ class GraphStore:
         return GraphStore(self.spark, self.files.root)
 
     def state(self) -> dict:
-        return json.loads(self.files.read("STATE") or "{}")
+        return json.loads(self.files.latest("STATE") or "{}")
 
     def save_state(self, **values) -> None:
         self.files.replace("STATE", json.dumps({**self.state(), **values}, sort_keys=True))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +37,26 @@ def symbol_rows(records: DataFrame) -> DataFrame:
     return schemas.conform(made, schemas.node_schema("Symbol"))
 
 
-def apply_scan(store: GraphStore, lines: DataFrame, changed: DataFrame | None = None, build_id: str = "") -> GraphStore:
-    """Publish a snapshot with the records of ``lines`` (value) in place of those of the changed files (path)."""
+def apply_scan(store: GraphStore, lines: DataFrame, changed: DataFrame | None = None, build_id: str = "", deleted: DataFrame | None = None) -> GraphStore:
+    """Publish a snapshot with the records of ``lines`` (value) in place of those of the changed files (path).
+
+    Unless given, the changed files are those of the symbol records. Files that a status line of the scan
+    ({"changed": [...], "all": [...]}) names as changed lose what they had too, so do files that ``all`` does
+    not name, and the ``deleted`` files (path).
+    """
     # parsed once: every table of the snapshot is made from these two
     symbols, relations = cut(symbol_rows(scan.records(lines, "symbol"))), cut(scan.dedup_relations(scan.records(lines, "relation")))
     changed = symbols.select(F.col("file_path").alias("path")).distinct() if changed is None else changed
     kinds = ["Calls", "Contains", "Inherits", "Extends", "Implements"]
     old, new_edges = store.nodes("Symbol"), {}
+    status = lines.select(F.from_json("value", "changed array<string>, `all` array<string>").alias("s")).where("s.`all` is not null")
+    listed = cut(status.select(F.explode("s.all").alias("path")).distinct())
+    if not listed.isEmpty():
+        gone = old.where("file_path <> ''").select(F.col("file_path").alias("path")).distinct().join(listed, "path", "left_anti")
+        changed = changed.unionByName(status.select(F.explode("s.changed").alias("path"))).unionByName(gone)
+    if deleted is not None:
+        changed = changed.unionByName(deleted.select("path"))
+    changed = cut(changed.distinct())
     kept, _ = mutate.retract(old, store.edges("Calls").select("src", "dst"), changed)
     all_symbols = mutate.upsert(kept, symbols, "id", mutate.MUTABLE + ["usr", "origin", "is_generated"]).drop("change")
     calls, structure = mutate.call_edges(relations, build_id), mutate.structure_edges(relations)
@@ -68,8 +81,8 @@ def with_retries(action: Callable[[], object], retries: int = MAX_RETRIES, sleep
             sleep(min(2**n, MAX_DELAY) * rand(0.5, 1.0))
 
 
-def watch(spark: SparkSession, inbox: str, root: str, checkpoint: str, once: bool = False, build_id: str = "") -> StreamingQuery:
-    """Keep the graph at ``root`` up to date with the scan files that arrive in ``inbox``.
+def watch(spark: SparkSession, inbox: str, root: str, checkpoint: str, once: bool = False, build_id: str = "", targets: Sequence[str] = ()) -> StreamingQuery:
+    """Keep the graph at ``root`` up to date with the scan files that arrive in ``inbox``, made for ``targets``.
 
     ``once`` takes what is there and stops; else a batch starts at most every quiet period.
     """
@@ -82,7 +95,7 @@ def watch(spark: SparkSession, inbox: str, root: str, checkpoint: str, once: boo
         def publish() -> None:
             with store.lock():
                 apply_scan(GraphStore(spark, root), batch, build_id=build_id)
-                store.save_state(batch_id=batch_id, last_ingest_ts=time.time())
+                store.save_state(batch_id=batch_id, last_ingest_ts=time.time(), targets=sorted({*store.state().get("targets", []), *targets}))
 
         with_retries(publish)
 

@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession, name: str) -> Iterator[str]:
     """A folder of its own in the shared checkpoint folder; it is deleted at the end, in whatever store it is."""
@@ -29,8 +35,7 @@ def scratch(spark: SparkSession, name: str) -> Iterator[str]:
     try:
         yield folder
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
 
 
 def worker_path(spark: SparkSession) -> None:

@@ -30,14 +30,18 @@ RULES = [
 UNWANTED = "adult xxx porn sex-cams xvideos escort casino poker pokerstars slots betting free-bets jackpot lottery cheap-pills pills viagra cialis tramadol pharma-deal replica payday loans-now crack warez torrent keygen malware phish get-rich miracle-diet ads-server ads-track tracker click-farm spam spam-mail adult-x nude webcam-girls hookup roulette blackjack cheap-meds xanax fake-watches".split()
 HARMLESS = "news journal museum library school university garden recipes weather science travel history music sports cinema poetry health city-council energy bakery football archive wiki docs forum photo market railway letters hospital theatre chess cycling biology physics chemistry opera parish village mountain harbour kitchen furniture carpenter pottery painting translation dictionary grammar teacher student nursery farmer orchard vineyard fishing sailing swimming climbing hiking camping festival concert orchestra gallery bookshop publisher newspaper magazine podcast radio television".split()
 #: Syllables of made-up harmless names, so that an unknown word alone is no sign of an unwanted site.
-SYLLABLES = [c + v for c in "bcdfghjklmnprstvwz" for v in "aeiou"]
+ONSETS = ["", *"bcdfghjklmnprstvwyz", "bl", "br", "ch", "cl", "cr", "dr", "fl", "fr", "gl", "gr", "ph", "pl", "pr", "qu", "sc", "sh", "sl", "sp", "st", "str", "sw", "th", "tr", "wh"]
+VOWELS = ["a", "e", "i", "o", "u", "ai", "ea", "ee", "ie", "io", "ou"]
+CODAS = ["", "", "b", "ck", "d", "l", "ll", "m", "n", "n", "nd", "ng", "nt", "p", "r", "r", "rd", "rs", "s", "ss", "st", "t", "th", "x"]
+NAMES = 4000
 
 
 def labelled_urls() -> list[tuple[str, int]]:
     """The labelled table: (url, 1 for unwanted), each term in customary places."""
-    names = [a + b + SYLLABLES[(7 * i + 11 * j) % len(SYLLABLES)] for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES) if (i + j) % 5 == 0]
-    forms = ["http://{}.example.com/", "https://www.{}.example.org/en/12", "https://m.{}.example.net/a.html", "http://blog.{}.example.com/de/7/", "https://site.example.org/{}/3"]
-    bait = UNWANTED + [f.format(t) for t in UNWANTED for f in ("{}-win", "{}-online", "best-{}")]
+    pick_one = lambda kind, i, k: kind[zlib.crc32(f"{i} {k}".encode()) % len(kind)]
+    names = ["".join(pick_one(kind, i, 3 * k + j) for k in range(2 + i % 2) for j, kind in enumerate((ONSETS, VOWELS, CODAS))) for i in range(NAMES)]
+    forms = ["https://{}.com/", "http://{}.example.com/", "https://www.{}.example.org/en/12", "https://m.{}.example.net/a.html", "http://blog.{}.example.com/de/7/", "https://site.example.org/{}/3"]
+    bait = UNWANTED + [f.format(t) for t in UNWANTED for f in ("{}-win", "{}-online", "{}-hd", "best-{}", "buy-{}")]
     table = [(f.format(t), y) for terms, y in ((bait, 1), (HARMLESS, 0)) for t in terms for f in forms]
     short = [f"http://{c}.{end}" for c in "abcdefghijklmnopqrstuvwxyz" for end in ("com", "net", "org", "net/en/1", "org/fr")] + [""] * 40
     return table + [(forms[i % len(forms)].format(name), 0) for i, name in enumerate(names)] + [(u, 0) for u in short]

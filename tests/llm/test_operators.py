@@ -263,6 +263,16 @@ def test_url_model():
     assert np.mean(right) > 0.98
 
 
+def test_url_model_held_out():
+    table = urls.labelled_urls()
+    far = [zlib.crc32(u.encode()) % 5 == 0 for u, _ in table]
+    w, b = urls.train([r for r, f in zip(table, far) if not f])
+    got = {y: [(urls.score(*urls.split_url(u), w, b) >= 0.5) == bool(y) for (u, v), f in zip(table, far) if f and v == y] for y in (0, 1)}
+    assert np.mean(got[0]) > 0.95 and np.mean(got[1]) > 0.9, {y: np.mean(v) for y, v in got.items()}
+    whole = urls.train(table)
+    assert all(urls.score(h, "/", *whole) >= 0.5 for h in ("pokerstars.com", "xvideos-hd.com", "buy-cheap-tramadol.com"))
+
+
 # quality
 
 
@@ -393,3 +403,46 @@ def test_leaks_of_the_table(spark, sf_dir, texts):
     want = {(d, i) for d, t in texts.items() for i, x in items.items() if x in f" {flat(t)} "}
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminations(spark.read.parquet(f"{sf_dir}/documents.parquet"), bench).collect()}
     assert want and want <= got
+
+
+@pytest.mark.parametrize(
+    "markup",
+    [
+        '<div class="news-header-story"><p>{}</p></div>',
+        '<main><p>{}</p><p class="share-price">{}</p></main>',
+        '<main><p>{}</p><p class="legal-analysis">{}</p></main>',
+        '<article><p>{}</p><table class="social-stats"><tr><td>{}</td></tr></table></article>',
+        '<article><p>{}</p><p>so <math><mi>x</mi> is small</math> here</p></article>',
+    ],
+)
+def test_topical_names_are_no_page_parts(spark, markup):
+    prose = "The council met on Tuesday to hear what the engineers had found under the old bridge."
+    page = f"<html><body><nav><a href='/'>Home</a></nav>{markup.replace('{}', prose)}<footer>Copyright</footer></body></html>"
+    text = html.extract(page, html.train(html.labelled_pages()))
+    assert text.count(prose) == markup.count("{}") and "Home" not in text and "Copyright" not in text
+    assert ("is small" in text) == ("is small" in markup)
+
+
+def test_empty_and_repeated_pages_and_urls(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/fr/x", "<p>One two</p>", "x"), (1, "http://a.org/fr/x", "<p>One two</p>", "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
+    assert html.main_text(pages.limit(0)).count() == 0 and urls.judge(pages.limit(0)).count() == 0
+    got = html.main_text(pages).collect()
+    assert len(got) == 3 and got[0].text == got[1].text and [r.n_chars for r in got if r.page_id is None] == [0]
+    assert [(r.host, r["rule"], r.verdict) for r in urls.judge(pages).where("page_id = 1").collect()] == [("a.org", "org/fr/", "allow")] * 2
+
+
+def test_like_prefixes_are_different_places(spark):
+    rows = [(i, f"text {i}", "en", s) for i, s in enumerate(["common", "common_crawl_2019", "common_crawl_2024"] * 40)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), shards=3).collect()
+    at = {}
+    for r in got:
+        at.setdefault(rows[r.doc_id][3], set()).add(r.hilbert)
+    sets = list(at.values())
+    assert not sets[0] & sets[1] and not sets[1] & sets[2] and not sets[0] & sets[2]
+
+
+def test_short_and_unspaced_items(spark):
+    bench = spark.createDataFrame([(1, "secret answer"), (2, "\u4eca\u65e5\u306e\u5929\u6c17\u306f\u3069\u3046\u3067\u3059\u304b")], "item_id long, text string")
+    rows = [(1, "the Secret, answer is"), (2, "secret of the answer"), (3, "\u300c\u4eca\u65e5\u306e\u5929\u6c17\u306f\u3069\u3046\u3067\u3059\u304b\u300d\u3068\u805e\u3044\u305f"), (4, None)]
+    got = sorted((r.doc_id, r.item_id, r.score) for r in decontaminate.contaminations(docs(spark, rows), bench).collect())
+    assert got == [(1, 1, 1.0), (3, 2, 1.0)]

@@ -11,6 +11,7 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +68,13 @@ def apply_scan(store: GraphStore, lines: DataFrame, changed: DataFrame | None =
         new_edges[k] = schemas.conform(fresh, want).unionByName(schemas.conform(left, want)).distinct()
     ends = calls.select("src", "dst").unionByName(structure.select("src", "dst"))
     all_symbols = cut(schemas.conform(all_symbols, schemas.node_schema("Symbol")).unionByName(schemas.conform(mutate.placeholders(ends, all_symbols), schemas.node_schema("Symbol"))))
-    return store.commit({"Symbol": all_symbols, "File": mutate.files_of(all_symbols)}, new_edges)
+    nodes = {"Symbol": all_symbols, "File": mutate.files_of(all_symbols)}
+    if build_id:  # the record that tells a later query how fresh the graph is
+        want = schemas.node_schema("BuildSnapshot")
+        made = store.spark.createDataFrame([(build_id, datetime.now(timezone.utc).isoformat())], "id string, created_at string")
+        known = store.nodes("BuildSnapshot").where(F.col("id") != build_id)
+        nodes["BuildSnapshot"] = schemas.conform(made, want).unionByName(schemas.conform(known, want))
+    return store.commit(nodes, new_edges)
 
 
 def with_retries(action: Callable[[], object], retries: int = MAX_RETRIES, sleep: Callable[[float], None] = time.sleep, rand: Callable[[float, float], float] = random.uniform):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import schemas
+from graphloom.operators import search
 from graphloom.plans.api import Engine, Request, SearchStatus, pipe
 from graphloom.sources import documents, files, scan
 from graphloom.store import Busy, GraphStore, resolve_path
@@ -143,3 +144,37 @@ def test_engine_and_pipe(spark, tmp_path):
     assert len(out) == 3 and len(out[0]["data"]["references"]) == 2 and "error" in out[1] and "error" in out[2]
     with pytest.raises(ValueError):
         SearchStatus("maybe")
+
+
+def test_deleted_and_emptied_files_leave_the_graph(spark, tmp_path):
+    store = ingest.apply_scan(GraphStore(spark, str(tmp_path / "g")), lines(spark, sym("a", "a", "/1"), sym("b", "b", "/2"), sym("c", "c", "/3"), call("a", "b"), call("b", "c"), call("c", "a")))
+    later = ingest.apply_scan(store, lines(spark, sym("a", "a", "/1"), call("a", "b"), {"changed": ["/1", "/3"], "all": ["/1", "/3"]}))
+    assert {(r.src, r.dst) for r in later.edges("Calls").collect()} == {("a", "b")}
+    assert {r.id: r.kind for r in later.nodes("Symbol").collect()} == {"a": "function", "b": "unknown"}
+    assert {r.path for r in later.nodes("File").collect()} == {"/1"}
+    last = ingest.apply_scan(later, lines(spark), deleted=spark.createDataFrame([("/1",)], "path string"))
+    assert last.edges("Calls").count() == 0
+
+
+def test_a_dead_writer_blocks_for_a_while_only(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "g"))
+    store.files.write("LOCK", json.dumps({"owner": "x", "time": 1.0}))
+    with store.lock():
+        with pytest.raises(Busy), GraphStore(spark, str(tmp_path / "g")).lock():
+            pass
+    assert not store.files.exists("LOCK")
+
+
+def test_frames_join_by_equality(spark):
+    symbols = spark.createDataFrame([("u1", "run", "method", "box"), ("u0", "run", "method", "box")], "usr string, name string, kind string, container_usr string")
+    found = search.resolve_frames(spark.createDataFrame([("0  App  0x1  -[Box run] + 4",)], "raw string"), symbols)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.first().usr in (None, "u0")  # a tie goes to the smaller id
+
+
+def test_a_build_is_recorded(spark, tmp_path):
+    store = ingest.apply_scan(GraphStore(spark, str(tmp_path / "g")), lines(spark, sym("t", "t", "/t"), sym("d", "d", "/d"), call("d", "t")), build_id="b1")
+    store = ingest.apply_scan(store, lines(spark, sym("d", "d", "/d"), call("d", "t")), build_id="b2")
+    eng = Engine(store)
+    assert eng.freshness("b1") == eng.freshness("b2") == "fresh" and eng.freshness("b3") == "stale" and eng.latest_build() == "b2"
+    assert eng.impact(Request(usr="t")).data["risk"] != "critical"

@@ -110,6 +110,28 @@ def test_equal_short_lines_go(spark):
     assert got == {1: rows[0][1], 2: "\n***\n \nall rights reserved\nab cd", 3: "ab ce"}
 
 
+def test_edit_similarity_is_exact(spark):
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choice("ab\u00e9") for _ in range(rnd.randint(1, 6)))
+    pairs = [("a", "a"), ("a", "b"), ("ab cd", "ab cd ef"), ("cd", "ab cd"), ("ab cd", "ab x cd"), ("ab ab ab", "ab ab"), ("abcdefghij", "abcd fghij")]
+    for k in range(400):
+        u = [word() for _ in range(rnd.randint(1, 14))]
+        v = list(u)
+        for _ in range(rnd.randint(0, 3)):
+            i = rnd.randrange(len(v) + 1)
+            v[i : i + rnd.randint(0, 1)] = [word()] * rnd.randint(0, 1)
+        pairs.append((" ".join(u), " ".join(v) or "a"))
+    got = spark.createDataFrame(pairs, "u string, v string").select("u", "v", lines._alike("u", "v", 0.8).alias("ok")).collect()
+    seen = set()
+    for r in got:
+        wide = max(len(r.u.split(" ")), len(r.v.split(" ")))
+        few = wide < lines.FEW_WORDS or distance(r.u.split(" "), r.v.split(" ")) <= (wide + 1) // 2
+        want = distance(r.u, r.v) <= 0.2 * max(len(r.u), len(r.v)) + 1e-9
+        assert r.ok == want or (want and not few), (r.u, r.v)
+        seen.add(r.ok)
+    assert seen == {True, False}
+
+
 def test_lines_without_a_long_word_are_like(spark):
     rnd = random.Random(11)
     ws = ["".join(rnd.choice("abcdefghij") for _ in range(3)) for _ in range(60)]

@@ -206,10 +206,10 @@ def subtype_closure(p):
     return T.subtype_closure(p.hierarchy, p.symbols.where("kind = 'protocol'"))
 
 
-@query("""SELECT h.src AS seed, CASE h.rel_type WHEN 'ConformsTo' THEN 'protocol' ELSE 'parent' END AS role, s.usr, s.name FROM hierarchy h JOIN symbols s ON s.usr = h.dst WHERE h.src LIKE 'n:%'
-   UNION SELECT h.dst, 'child', s.usr, s.name FROM hierarchy h JOIN symbols s ON s.usr = h.src WHERE h.dst LIKE 'n:%'""")
+@query("""SELECT h.src AS seed, CASE h.rel_type WHEN 'ConformsTo' THEN 'protocol' ELSE 'parent' END AS role, s.usr, s.name FROM hierarchy h JOIN symbols s ON s.usr = h.dst WHERE left(h.src, 2) IN ('n:', 'r:')
+   UNION SELECT h.dst, 'child', s.usr, s.name FROM hierarchy h JOIN symbols s ON s.usr = h.src WHERE left(h.dst, 2) IN ('n:', 'r:')""")
 def type_hierarchy(p):
-    return T.hierarchy(p.symbols, p.hierarchy, p.types.where("usr like 'n:%'")).select("seed", "role", "usr", "name")
+    return T.hierarchy(p.symbols, p.hierarchy, p.types).select("seed", "role", "usr", "name")
 
 
 @query("SELECT c.dst AS usr, s.usr AS owner_usr, s.name AS owner_name FROM contains c JOIN symbols s ON s.usr = c.src")
@@ -531,10 +531,10 @@ def rename_plan(p):
     return rename.sites(p.symbols, p.calls, TARGET, "fresh_name")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'handle' || l_linenumber || ':' ELSE 'stop' END AS selector FROM lineitem WHERE l_quantity >= 45")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'handle' || l_linenumber || ':' ELSE 'stop' END AS selector FROM lineitem")
 def method_selectors(p):
     head = F.when(F.col("l_returnflag") == "N", F.concat(F.lit("- (void)handle"), F.col("l_linenumber").cast("string"), F.lit(":(id)sender {"))).otherwise("+ (BOOL)stop {")
-    return p.table("lineitem").where("l_quantity >= 45").select("l_orderkey", "l_linenumber", P.method_selector(head).alias("selector"))
+    return p.table("lineitem").select("l_orderkey", "l_linenumber", P.method_selector(head).alias("selector"))
 
 
 @query("""SELECT role, l_linestatus AS path, count(*) AS n FROM (SELECT l_linestatus, CASE l_returnflag WHEN 'N' THEN 'observes' WHEN 'R' THEN 'posts' ELSE 'target_action' END AS role FROM lineitem) GROUP BY 1, 2""")

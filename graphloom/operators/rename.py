@@ -43,6 +43,6 @@ def apply(spark, plan: DataFrame) -> int:
         before = files.read(name)
         after = None if before is None else re.sub(rf"\b{re.escape(r['old_name'])}\b", r["new_name"], before)
         if after is not None and after != before:
-            files.replace(name, after)
+            files.overwrite(name, after)
             changed += 1
     return changed

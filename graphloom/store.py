@@ -79,6 +79,18 @@ class Files:
             if n < last:
                 self.delete(f"{name}-{n:012d}")
 
+    def overwrite(self, name: str, text: str) -> None:
+        """Put ``text`` in the file itself: staged beside it, then renamed over it."""
+        jvm, staged = self.spark.sparkContext._jvm, f".{name}.{uuid.uuid4().hex}"
+        self.write(staged, text)
+        fs = jvm.org.apache.hadoop.fs
+        options = self.spark.sparkContext._gateway.new_array(getattr(fs.Options, "Rename"), 1)
+        options[0] = getattr(fs.Options, "Rename").OVERWRITE
+        context = fs.FileContext.getFileContext(self.at(staged).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        at = lambda n: self._fs.makeQualified(self.at(n))
+        context.rename(at(staged), at(name), options)
+        self.delete(f".{name}.crc")  # a sum beside a source file would outlast its next edit
+
     def _numbers(self, name: str) -> list[int]:
         if not self._fs.exists(self.at("")):
             return []

@@ -138,7 +138,7 @@ def _dense_edges(keyed: DataFrame, hot: DataFrame, max_diff: int, block: int) ->
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
     dealt = (
-        keyed.join(hot, "key")
+        keyed.hint("merge").join(hot, "key")
         .select("key", "fp", blocks.alias("blocks"))
         .select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("key", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -147,12 +147,16 @@ def _dense_edges(keyed: DataFrame, hot: DataFrame, max_diff: int, block: int) ->
 
 
 def fingerprint_groups(fps: DataFrame, max_diff: int = MAX_DIFF, segments: int = SEGMENTS, dense: int = DENSE, block: int = BLOCK) -> DataFrame:
-    """(fp, component) for all linked fingerprints of the distinct ``fps``; component is the smallest of them."""
+    """(fp, component) for all linked fingerprints of the distinct ``fps``; component is the smallest of them.
+
+    Joins of the keyed rows are never broadcast: Spark takes an exploded table for as small as the table before, so
+    from some size on it would build one of 32 rows a fingerprint in the driver's memory.
+    """
     keyed = _keyed(fps, max_diff, segments)
     hot = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > dense))
     cool = keyed.join(hot.select("key"), "key", "left_anti")
     a, b = cool.select("key", F.col("fp").alias("src"), F.col("turned").alias("x")), cool.select("key", F.col("fp").alias("dst"), F.col("turned").alias("y"))
-    pairs = a.join(b, (a["key"] == b["key"]) & (a["src"] < b["dst"]) & _within(a["x"], b["y"], max_diff, segments)).select("src", "dst")
+    pairs = a.join(b.hint("merge"), (a["key"] == b["key"]) & (a["src"] < b["dst"]) & _within(a["x"], b["y"], max_diff, segments)).select("src", "dst")
     edges = pairs.unionByName(_dense_edges(keyed, hot, max_diff, block))
     return connected_components(edges).withColumnRenamed("node", "fp")
 

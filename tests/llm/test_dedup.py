@@ -242,6 +242,16 @@ def test_pigeonring_loses_no_pair(spark):
         assert ((max(x, y), min(x, y)) in linked) == near
 
 
+def test_keyed_fingerprints_are_never_broadcast(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(simhash, "connected_components", lambda edges: kept.append(edges) or edges.selectExpr("src AS node", "dst AS component"))
+    simhash.fingerprint_groups(spark.range(1000).selectExpr("id AS fp"), dense=8)
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    for line in plan.splitlines():
+        assert "BroadcastHashJoin" not in line or "LeftAnti" in line, line  # the anti-join sends the dense keys only
+
+
 def test_keep_one(spark):
     rows = [(3, "a b c d e f"), (1, "a b c d e f"), (2, "other words stand here now"), (None, "a b c d e f"), (1, "a b c d e f")]
     got = simhash.keep_one(docs(spark, rows))

@@ -2,11 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import parsing as P
+from ..runtime import cut
+
+
+#: Columns that two symbols must have equal, by rule; any rule makes a bridge.
+BRIDGE_KEYS = [["full"], ["k_box", "k_member", "k_arity", "k_kind"], ["name", "kind"]]
+
+
+def _bridge_sides(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usr, dir, full, k_box, k_member, k_arity, k_kind, name, kind) of the Swift and of the Objective-C symbols."""
+    extra = [F.lit(None).cast("string").alias(c) for c in ("swift_display_name", "signature") if c not in symbols.columns]
+    base = symbols.select("*", *extra)
+    swift = base.where("language = 'swift'").select("usr", "name", "kind", P.directory(F.col("file_path")).alias("dir"), P.swift_names(F.col("usr"), F.col("name"), F.col("swift_display_name"), F.col("signature"), F.col("kind")).alias("x"))
+    objc = base.where("language = 'objc'").select("usr", "name", "kind", P.directory(F.col("file_path")).alias("dir"), P.objc_names(F.col("usr")).alias("x"))
+    key = lambda box, member, arity: [F.lower(F.coalesce(box, F.lit(""))).alias("k_box"), F.lower(member).alias("k_member"), F.greatest(arity, F.lit(0)).alias("k_arity"), P.kind_group(F.col("kind")).alias("k_kind")]
+    s = swift.select("usr", "dir", F.col("x.swift_name").alias("full"), *key(F.col("x.container"), F.col("x.member"), F.col("x.arity")), "name", "kind")
+    o = objc.select("usr", "dir", F.col("x.swift_name").alias("full"), *key(F.col("x.container"), F.coalesce("x.member", "name"), F.coalesce("x.arity", F.lit(0))), "name", "kind")
+    return s, o
+
+
+def _by_rule(s: DataFrame, o: DataFrame) -> list[DataFrame]:
+    """The joins of two sides, whose columns become s_ and o_, by each rule."""
+    s, o = (df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns]) for df, p in ((s, "s"), (o, "o")))
+    return [s.join(o, reduce(lambda x, y: x & y, [F.col(f"s_{k}") == F.col(f"o_{k}") for k in rule])) for rule in BRIDGE_KEYS]
 
 
 def bridge_pairs(symbols: DataFrame) -> DataFrame:
@@ -16,24 +42,49 @@ def bridge_pairs(symbols: DataFrame) -> DataFrame:
     0.82; equal name and kind 0.85 in one directory (as a correlated id), and 0.70 by name alone. The
     highest confidence of a pair stays. Three equi-joins, no cross product.
     """
-    extra = [F.lit(None).cast("string").alias(c) for c in ("swift_display_name", "signature") if c not in symbols.columns]
-    base = symbols.select("*", *extra)
-    swift = base.where("language = 'swift'").select("usr", "name", "kind", P.directory(F.col("file_path")).alias("dir"), P.swift_names(F.col("usr"), F.col("name"), F.col("swift_display_name"), F.col("signature"), F.col("kind")).alias("x"))
-    objc = base.where("language = 'objc'").select("usr", "name", "kind", P.directory(F.col("file_path")).alias("dir"), P.objc_names(F.col("usr")).alias("x"))
-    key = lambda box, member, arity: [F.lower(F.coalesce(box, F.lit(""))).alias("k_box"), F.lower(member).alias("k_member"), F.greatest(arity, F.lit(0)).alias("k_arity"), P.kind_group(F.col("kind")).alias("k_kind")]
-    s = swift.select(F.col("usr").alias("swift_usr"), F.col("name").alias("s_name"), F.col("kind").alias("s_kind"), F.col("dir").alias("s_dir"), F.col("x.swift_name").alias("s_full"), *key(F.col("x.container"), F.col("x.member"), F.col("x.arity")))
-    o = objc.select(F.col("usr").alias("objc_usr"), F.col("name").alias("o_name"), F.col("kind").alias("o_kind"), F.col("dir").alias("o_dir"), F.col("x.swift_name").alias("o_full"), *key(F.col("x.container"), F.coalesce("x.member", "name"), F.coalesce("x.arity", F.lit(0))))
     same_dir = F.col("s_dir") == F.col("o_dir")
-    made = lambda df, kind, conf: df.select("swift_usr", "objc_usr", F.lit(kind).alias("bridge_kind"), conf.alias("confidence"))
-    by_name = s.join(o, F.col("s_full") == F.col("o_full"))
-    by_key = s.join(o, ["k_box", "k_member", "k_arity", "k_kind"])
-    by_both = s.join(o, (F.col("s_name") == F.col("o_name")) & (F.col("s_kind") == F.col("o_kind")))
+    made = lambda df, kind, conf: df.select(F.col("s_usr").alias("swift_usr"), F.col("o_usr").alias("objc_usr"), F.lit(kind).alias("bridge_kind"), conf.alias("confidence"))
+    by_name, by_key, by_both = _by_rule(*_bridge_sides(symbols))
     union = made(by_name, "usr_correlate", F.lit(0.95)).unionByName(made(by_key, "usr_correlate", F.when(same_dir, 0.85).otherwise(0.82)))
     union = union.unionByName(made(by_both, "usr_correlate", F.when(same_dir, 0.85))).unionByName(made(by_both, "name_match", F.lit(0.70))).where("confidence is not null")
     best = F.max_by(F.struct("bridge_kind", "confidence"), F.struct("confidence", F.col("bridge_kind")))
     return union.groupBy("swift_usr", "objc_usr").agg(best.alias("b")).select("swift_usr", "objc_usr", "b.bridge_kind", "b.confidence")
 
 
+def _partners(asked: DataFrame, others: DataFrame) -> DataFrame:
+    """(usr, n): how many rows of ``others`` fit a row of ``asked`` by any rule, by inclusion and exclusion of rules."""
+    keys = [k for rule in BRIDGE_KEYS for k in rule]
+    sets = [[k for rule in some for k in rule] for n in range(1, len(BRIDGE_KEYS) + 1) for some in combinations(BRIDGE_KEYS, n)]
+    signs = [(-1) ** (n + 1) for n in range(1, len(BRIDGE_KEYS) + 1) for _ in combinations(BRIDGE_KEYS, n)]
+    masked = lambda i, some: F.struct(F.lit(i).alias("set"), *[F.when(F.lit(k in some), F.col(k)).alias(k) for k in keys])
+    known = lambda some: reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in some])
+    spread = F.explode(F.array_compact(F.array(*[F.when(known(some), masked(i, some)) for i, some in enumerate(sets)]))).alias("at")
+    held = others.groupBy(*keys).agg(F.count("*").alias("n")).select("n", spread).groupBy("at").agg(F.sum("n").alias("n"))
+    wanted = asked.select(*keys).distinct().select(F.struct(*keys).alias("row"), spread)
+    signed = F.get(F.array(*[F.lit(s) for s in signs]), F.col("at.set")) * F.col("n")
+    found = wanted.join(held, "at").groupBy("row").agg(F.sum(signed).alias("n"))
+    return asked.select("usr", F.struct(*keys).alias("row")).join(found, "row").select("usr", "n")
+
+
+def bridge_counts(symbols: DataFrame) -> DataFrame:
+    """(usr, bridges): with how many symbols ``bridge_pairs`` pairs each, for those that have any.
+
+    No pair is made: the symbols that have each rule's columns equal are counted as a group, so a name that
+    thousands share costs no more than its symbols. Only ids that stand on several different rows, which a
+    snapshot has none of, go by pairs. Repeated rows count once; a null id is no symbol.
+    """
+    keys = [k for rule in BRIDGE_KEYS for k in rule]
+    s, o = (df.select("usr", F.struct(F.lit(swift).alias("swift"), *keys).alias("x")) for df, swift in zip(_bridge_sides(symbols), (True, False)))
+    by_usr = cut(s.unionByName(o).where("usr is not null").groupBy("usr").agg(F.collect_set("x").alias("x")))  # eight readers
+    once, often = (by_usr.where(c).select("usr", F.inline("x")) for c in ("size(x) = 1", "size(x) > 1"))
+    s1, o1, s2, o2 = (df.where(F.col("swift") == swift).drop("swift") for df in (once, often) for swift in (True, False))
+    rest = _by_rule(s2, o1.unionByName(o2)) + _by_rule(s1, o2)
+    pairs = reduce(DataFrame.unionByName, [df.select("s_usr", "o_usr") for df in rest])
+    ways = pairs.toDF("usr", "other").unionByName(pairs.toDF("other", "usr")).distinct()
+    counts = _partners(s1, o1).unionByName(_partners(o1, s1)).unionByName(ways.groupBy("usr").agg(F.count("*").alias("n")))
+    return counts.groupBy("usr").agg(F.sum("n").cast("long").alias("bridges"))
+
+
 def bridge_edges(pairs: DataFrame) -> DataFrame:
     """BridgesTo edges, both directions."""
     cols = ["bridge_kind", "confidence"]

@@ -106,6 +106,35 @@ def test_bridges(spark):
     assert (best.bridge_kind, best.confidence) == ("usr_correlate", 0.95)
 
 
+def test_bridge_counts_are_those_of_the_pairs(spark):
+    import random
+
+    rng, rows = random.Random(5), []
+    for i in range(300):
+        name, kind = rng.choice(["fill:with:", "fill", "draw", "Fill", None]), rng.choice(["method", "function", "class", None])
+        language = rng.choice(["swift", "objc", "c"])
+        usr = rng.choice([f"s:{i}", f"c:objc(cs)Box(im)fill:with:{i % 7}", f"p:{i}"])  # some ids stand on several rows
+        shown = rng.choice(["Box.fill(_:_:)", "Box.draw()", "", None])
+        rows.append((usr, name, kind, "M", language, rng.choice(["/src/a.swift", "/o/b.m", None]), shown, ""))
+    rows.append(rows[0])
+    s = spark.createDataFrame(rows, "usr string, name string, kind string, module string, language string, file_path string, swift_display_name string, signature string")
+    pairs = derive.bridge_pairs(s).select("swift_usr", "objc_usr").collect()
+    want = {}
+    for a, b in pairs:
+        want.setdefault(a, set()).add(b)
+        want.setdefault(b, set()).add(a)
+    counts = derive.bridge_counts(s)
+    assert {r.usr: r.bridges for r in counts.collect()} == {u: len(v) for u, v in want.items()} and len(want) > 50
+    assert derive.bridge_counts(s.limit(0)).count() == 0
+
+
+def test_bridge_query_makes_no_pairs(spark):
+    """10,000 symbols a side of one name: 100 million pairs."""
+    side = lambda p, language: spark.range(10_000).select(F.concat(F.lit(p), "id").alias("usr"), F.lit("run").alias("name"), F.lit("method").alias("kind"), F.lit("M").alias("module"), F.lit(language).alias("language"), F.lit("/a/b").alias("file_path"))
+    got = derive.bridge_counts(side("s:", "swift").unionByName(side("c:", "objc"))).groupBy("bridges").count().collect()
+    assert [tuple(r) for r in got] == [(10_000, 20_000)]
+
+
 def test_views_overrides_chunks(spark):
     v, bodies = one(spark, "s:C", "s:H"), spark.createDataFrame([("s:Cbody",)], "usr string")
     owners = derive.body_owners(bodies, v)

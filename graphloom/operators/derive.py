@@ -118,11 +118,14 @@ def body_owners(bodies: DataFrame, views: DataFrame) -> DataFrame:
 def navigation(owners: DataFrame, views: DataFrame, within_module: bool = False) -> DataFrame:
     """(src, dst): from each view that navigates to every other view (of its module, if asked for).
 
-    The full relation is a product by definition; ``within_module`` makes it an equi-join.
+    The full relation is a product by definition; ``within_module`` makes it an equi-join. The ids of a product
+    are made distinct before it, so its rows, as many as views squared, are never shuffled; the views are broadcast.
     """
     v, o = views.select(F.col("usr").alias("dst"), "module"), owners.select(F.col("usr").alias("src"), "module")
-    pairs = o.join(v, "module") if within_module else o.drop("module").crossJoin(v.drop("module"))
-    return pairs.where("src <> dst").select("src", "dst").distinct()
+    if within_module:
+        return o.join(v, "module").where("src <> dst").select("src", "dst").distinct()
+    parts = int(owners.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else few ids end up in one task
+    return o.select("src").repartition(parts, "src").distinct().join(F.broadcast(v.select("dst").distinct()), F.col("src") != F.col("dst"))
 
 
 def overrides(symbols: DataFrame, contains: DataFrame, inherits: DataFrame) -> DataFrame:

@@ -135,6 +135,15 @@ def test_bridge_query_makes_no_pairs(spark):
     assert [tuple(r) for r in got] == [(10_000, 20_000)]
 
 
+def test_navigation_is_a_product_without_a_shuffle_of_its_rows(spark):
+    views = spark.createDataFrame([("a", "M"), ("b", "M"), ("b", "N"), (None, "M"), ("c", "N")], "usr string, module string")
+    flow = derive.navigation(views, views)
+    assert sorted(map(tuple, flow.collect())) == [(x, y) for x in "abc" for y in "abc" if x != y]
+    plan = flow._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("NestedLoopJoin")]
+    assert sorted(map(tuple, derive.navigation(views, views, within_module=True).collect())) == [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")]
+
+
 def test_views_overrides_chunks(spark):
     v, bodies = one(spark, "s:C", "s:H"), spark.createDataFrame([("s:Cbody",)], "usr string")
     owners = derive.body_owners(bodies, v)

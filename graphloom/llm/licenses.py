@@ -1,7 +1,7 @@
 """License scans by diagonal voting.
 
 Every rolling word k-gram of every text is hashed and joined to the positions of the same k-grams in
-known notices. A copy of a notice puts its hits on one diagonal (place in the text less place in the
+known notices; a text is read once, for the k-grams that notices have and for the phrases. A copy of a notice puts its hits on one diagonal (place in the text less place in the
 notice); edits move them to neighbouring ones. Hits are counted by diagonal, neighbours are merged, and
 a span is verified by the share of the notice's words that it covers.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import let, union_of_spans, window_hashes, words_of
+from .common import cut, let, union_of_spans, window_hashes, words_of
 
 #: Words: ASCII digits and lower-case letters, and all that is not ASCII.
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -88,16 +88,37 @@ def _base(words: Column, phrases: list[tuple[str, str]]) -> Column:
     return F.struct(F.size(words).cast("long").alias("n_words"), let(let(spaced, places), summary).alias("b"))
 
 
+def _grams(words: Column, k: int, hashes: list[int]) -> Column:
+    """Array of (pos, hash) of the word k-grams whose hash is one of ``hashes``."""
+    hashed = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])
+    at = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.filter(at, lambda i: hashed(i).isin(hashes)), lambda i: F.struct(i.alias("pos"), hashed(i).alias("hash")))
+
+
+def _known(spark: SparkSession, notices: list[tuple[str, str]] | None, k: int) -> tuple[DataFrame, list[int]]:
+    """The positions of the notices' k-grams, and their hashes.
+
+    The notices are a constant of this module or an argument: a few hundred rows.
+    """
+    known = template_positions(spark, NOTICES if notices is None else notices, k)
+    return known, [r[0] for r in known.select("hash").distinct().collect()]
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: list[tuple[str, str]] | None = None, k: int = K, band: int = BAND, cover: float = COVER) -> DataFrame:
     """(doc_id, text_key, label, score, start_word, end_word): verified copies of notices.
 
     text_key is a hash of the text, so rows of one id keep apart. score is the covered share of the
     notice's words.
     """
-    known = template_positions(docs.sparkSession, NOTICES if notices is None else notices, k)
+    known, hashes = _known(docs.sparkSession, notices, k)
     text = F.coalesce(docs[text_col], F.lit(""))
-    grams = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.posexplode(window_hashes_once(text, k)).alias("pos", "hash"))
-    # the notices are a constant of this module or an argument: a few hundred rows
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), let(_words(text), lambda w: _grams(w, k, hashes)).alias("grams"))
+    return _spans(rows, known, k, band, cover)
+
+
+def _spans(rows: DataFrame, known: DataFrame, k: int = K, band: int = BAND, cover: float = COVER) -> DataFrame:
+    """``spans`` of rows (doc_id, text_key, grams)."""
+    grams = rows.select("doc_id", "text_key", F.inline("grams"))
     hits = grams.join(F.broadcast(known), "hash").select("doc_id", "text_key", "template", "label", "t_words", "t_pos", "pos", (F.col("pos") - F.col("t_pos")).alias("diag"))
     by_diag = hits.groupBy("doc_id", "text_key", "template", "label", "t_words", "diag").agg(F.collect_set("t_pos").alias("at"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     w = W.partitionBy("doc_id", "text_key", "template").orderBy("diag")
@@ -112,22 +133,19 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notic
     return scored.where(F.col("score") >= cover).select("doc_id", "text_key", "label", "score", "start_word", "end_word")
 
 
-def window_hashes_once(text: Column, k: int) -> Column:
-    return let(_words(text), lambda w: window_hashes(w, k))
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: list[tuple[str, str]] | None = None, **how) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: list[tuple[str, str]] | None = None, notices: list[tuple[str, str]] | None = None, k: int = K, **how) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for every row.
 
     score is the best covered share of a notice, 1 where a phrase stands, else 0. A null text counts as
     empty. Rows are told apart by id and text, so a repeated row gets the same result as its twin; null
     ids are kept. Extra columns are not read; an empty table gives no rows.
     """
+    known, hashes = _known(docs.sparkSession, notices, k)
     text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(
-        docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), let(_words(text), lambda w: _base(w, PHRASES if phrases is None else phrases)).alias("s")
-    ).select("doc_id", "text_key", "s.n_words", "s.b.n_base", "s.b.first_word", "s.b.last_word", "s.b.base")
-    found = spans(docs, id_col, text_col, **how).groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
+    read = lambda w: F.struct(_base(w, PHRASES if phrases is None else phrases).alias("s"), _grams(w, k, hashes).alias("grams"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), let(_words(text), read).alias("x"))
+    rows = cut(rows.select("doc_id", "text_key", "x.s.n_words", "x.s.b.n_base", "x.s.b.first_word", "x.s.b.last_word", "x.s.b.base", "x.grams"))
+    found = _spans(rows, known, k, **how).groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     both = rows.join(found, rows["doc_id"].eqNullSafe(found["d"]) & (rows["text_key"] == found["t"]), "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return both.select(

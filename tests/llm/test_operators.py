@@ -210,6 +210,15 @@ def test_license_diagonals(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_license_scan_reads_each_text_once(spark, monkeypatch):
+    read, words = [], licenses._words
+    monkeypatch.setattr(licenses, "_words", lambda text: read.append(text) or words(text))
+    notice = licenses.NOTICES[7][1]
+    got = licenses.scan(docs(spark, [(1, f"see the mit license here {notice}"), (2, "a b"), (None, None)])).collect()
+    assert len(read) == 2  # the notices and the texts
+    assert {r.doc_id: (r.n_base, r.first_word, r.labels) for r in got} == {1: (1, 2, f"{licenses.NOTICES[7][0]},mit"), 2: (0, None, ""), None: (0, None, "")}
+
+
 # sharding
 
 
